@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import exact_dedup
+from . import exact_dedup, pii
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
+QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op10_pii": pii.op10_pii}
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
