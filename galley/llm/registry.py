@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import exact_dedup, language, pii, simhash
+from . import bpe, exact_dedup, language, pii, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
+    "op6_bpe": bpe.op6_bpe,
     "op8_language": language.op8_language,
     "op10_pii": pii.op10_pii,
 }
