@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, language, packing, pii, simhash
+from . import bpe, exact_dedup, language, packing, pii, quality, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
+    "op7_quality": quality.op7_quality,
     "op8_language": language.op8_language,
     "op10_pii": pii.op10_pii,
 }
