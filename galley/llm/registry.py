@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, language, packing, pii, quality, simhash
+from . import bpe, exact_dedup, hmm, language, packing, pii, quality, simhash
 
 QUERIES = {
+    "op2_hmm": hmm.op2_hmm,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
