@@ -164,8 +164,22 @@ def links(fp: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]
     return out
 
 
-def bucket_links(nodes: DataFrame, keys, radius: int) -> DataFrame:
-    """Edges (u, v) of node ids. nodes: node long, fp array<long>, distinct fingerprints."""
+def nearest(fp: np.ndarray, side: np.ndarray, radius: int, k: int) -> list[tuple[int, int]]:
+    """For each position its k nearest within radius, of the other side if there are two."""
+    out, two = [], side.any()
+    for s in range(0, len(fp), 64):
+        d = sum(np.bitwise_count(fp[s : s + 64, p, None] ^ fp[None, :, p]).astype(np.int16) for p in range(fp.shape[1]))
+        far = side[s : s + 64, None] == side[None, :] if two else np.arange(s, s + len(d))[:, None] == np.arange(len(fp))
+        d[far] = np.iinfo(np.int16).max
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        for i, row in enumerate(best):
+            out += [(s + i, j) for j in row if d[i, j] <= radius]
+    return out
+
+
+def bucket_links(nodes: DataFrame, keys, radius: int, neighbours: int = 0) -> DataFrame:
+    """Edges (u, v) of node ids that connect each bucket's components, and to each node's nearest neighbours.
+    nodes: node long, fp array<long>, distinct fingerprints."""
     parts = shuffle_parts(nodes.sparkSession)
 
     def keyed(batches):
@@ -180,7 +194,8 @@ def bucket_links(nodes: DataFrame, keys, radius: int) -> DataFrame:
         def done(group: pd.DataFrame):
             if len(group) < 2:
                 return None
-            got = links(np.stack(group["fp"].to_numpy()).view(np.uint64), group["side"].to_numpy(), radius)
+            fp, side = np.stack(group["fp"].to_numpy()).view(np.uint64), group["side"].to_numpy()
+            got = links(fp, side, radius) + (nearest(fp, side, radius, neighbours) if neighbours else [])
             ids = group["node"].to_numpy()
             return pd.DataFrame({"u": ids[[a for a, _ in got]], "v": ids[[b for _, b in got]]}) if got else None
 
@@ -217,12 +232,12 @@ def bucket_links(nodes: DataFrame, keys, radius: int) -> DataFrame:
     return edges.union(dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "node").mapInPandas(run, "u long, v long"))
 
 
-def near_components(rows: DataFrame, keys, radius: int) -> DataFrame:
+def near_components(rows: DataFrame, edges_of) -> DataFrame:
     """rows (row_id, doc_id, fp) with component_id, the smallest doc_id reachable, and keep_row, that document's
-    first row. rows must be a table."""
+    first row. rows must be a table; edges_of gives the edges of nodes (node, fp), a row_id for each fingerprint."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id"))
     nodes = written(rows.groupBy("fp").agg(first.alias("b")).select(F.col("b.row_id").alias("node"), F.col("b").alias("best"), "fp"), "nodes")
-    member = components(bucket_links(nodes.select("node", "fp"), keys, radius))
+    member = components(edges_of(nodes.select("node", "fp")))
     linked = written(nodes.join(member, "node").select("node", "root", "best"), "linked")
     least = linked.groupBy("root").agg(F.min("best").alias("least"))
     better = written(linked.join(least, "root").select("node", "least"), "better")
@@ -231,6 +246,22 @@ def near_components(rows: DataFrame, keys, radius: int) -> DataFrame:
     return out.select("row_id", "doc_id", "fp", F.col("best.doc_id").alias("component_id"), F.col("best.row_id").alias("keep_row"))
 
 
+def verified(edges: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The edges whose texts have this Jaccard similarity or more over distinct shingles of words words."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array([shingle_hashes(t.as_py(), words, True).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))], ["row_id", "s"])
+
+    edges = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    ends = edges.select(F.col("u").alias("row_id")).union(edges.select("v")).distinct()
+    texts = docs.select(F.monotonically_increasing_id().alias("row_id"), "text").join(ends, "row_id", "left_semi")
+    sets = written(texts.mapInArrow(run, "row_id long, s array<long>"), "sets")
+    side = lambda e: sets.select(F.col("row_id").alias(e), F.col("s").alias(f"s{e}"))
+    both = edges.join(side("u"), "u").join(side("v"), "v").withColumn("n", F.size(F.array_intersect("su", "sv")))
+    return both.filter(F.col("n") >= F.lit(similarity) * (F.size("su") + F.size("sv") - F.col("n"))).select("u", "v")
+
+
 def similar_radius(similarity: float, size: int, verify: int, bits: int) -> int:
     """The Hamming radius that stands for a Jaccard similarity over shingles of verify words when the
     fingerprint has shingles of size words: a changed word changes as many shingles as they have words."""
@@ -238,19 +269,24 @@ def similar_radius(similarity: float, size: int, verify: int, bits: int) -> int:
     return round(bits * np.arccos(1 - changed) / np.pi)
 
 
-def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5, parts: int = 16, shingle: int = 3, width: int = 21) -> DataFrame:
+def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5, parts: int = 16, shingle: int = 3, width: int = 21, neighbours: int = 3) -> DataFrame:
     """docs with one document of each group of near copies: similarity or more over shingles of words words.
 
-    Fingerprints of parts * 64 bits over distinct shingles of shingle words estimate the similarity;
-    bands of width bits find the pairs to compare (all but a few hundredths of those at 0.8, all above).
+    Fingerprints of parts * 64 bits over distinct shingles of shingle words propose pairs: bands of width
+    bits (all but a few hundredths of the pairs at 0.8, all well above), a Hamming radius three standard
+    deviations above what the similarity stands for. A bucket proposes links that connect its near
+    fingerprints and each one's nearest neighbours; the exact similarity of the texts decides.
+    docs must be a table, as its rows are numbered by their place.
     """
     rows = written(fingerprints(docs, shingle, parts, once=True), "fingerprints")
-    found = near_components(rows, band_keys(width), similar_radius(similarity, shingle, words, 64 * parts))
+    radius = similar_radius(similarity, shingle, words, 64 * parts)
+    radius += round(3 * np.sqrt(radius * (1 - radius / (64 * parts))))
+    found = near_components(rows, lambda n: verified(bucket_links(n, band_keys(width), radius, neighbours), docs, similarity, words))
     kept = found.filter("row_id = keep_row").select(F.col("row_id").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(fingerprints(documents(spark, sf_dir)), "fingerprints")
-    out = near_components(rows, exact_keys, 3)
+    out = near_components(rows, lambda nodes: bucket_links(nodes, exact_keys, 3))
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
