@@ -186,7 +186,7 @@ def bucket_links(nodes: DataFrame, keys, radius: int, neighbours: int = 0) -> Da
         for b in batches:
             fp = np.stack(b.column("fp").to_numpy(zero_copy_only=False)) if len(b) else np.zeros((0, 1), np.int64)
             for k in keys(fp):
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b.column("node"), b.column("fp")], ["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b.column("node")], ["key", "node"])
 
     def run(frames):
         held: list[pd.DataFrame] = []
@@ -215,18 +215,18 @@ def bucket_links(nodes: DataFrame, keys, radius: int, neighbours: int = 0) -> Da
         if held:
             yield from (x for x in cut(pd.concat(held, ignore_index=True), True) if x is not None)
 
-    rows = written(nodes.mapInArrow(keyed, "key long, node long, fp array<long>"), "keyed")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    wide = written(sizes.filter(F.col("n") > BLOCK), "wide")
-    small = rows.join(wide, "key", "left_anti").select("key", F.lit(0).alias("pair"), F.lit(0).alias("side"), "node", "fp")
-    out = small.repartition(parts, "key").sortWithinPartitions("key", "node")
-    edges = out.mapInPandas(run, "u long, v long")
+    rows = written(nodes.mapInArrow(keyed, "key long, node long"), "keyed")
+    shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    met = written(rows.join(shared, "key").join(nodes, "node"), "met")  # fingerprints travel only with keys that are shared
+    small = met.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("pair"), F.lit(0).alias("side"), "node", "fp")
+    edges = small.repartition(parts, "key").sortWithinPartitions("key", "node").mapInPandas(run, "u long, v long")
+    wide = met.filter(F.col("n") > BLOCK)
     if wide.isEmpty():
         return edges
     # Block b of m meets every block: (b, c) for c >= b as the left side, (a, b) for a < b as the right one.
     m = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), m).cast("int")
-    dealt = rows.join(wide, "key").withColumn("m", m).withColumn("b", block).select("key", "node", "fp", "m", "b", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("c"))
+    dealt = wide.withColumn("m", m).withColumn("b", block).select("key", "node", "fp", "m", "b", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("c"))
     pair = F.least("b", "c") * F.col("m") + F.greatest("b", "c")
     dealt = dealt.select("key", pair.alias("pair"), (F.col("b") > F.col("c")).cast("int").alias("side"), "node", "fp")
     return edges.union(dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "node").mapInPandas(run, "u long, v long"))
