@@ -191,7 +191,8 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             out = pdf[[f.name for f in keep]]
             yield out.assign(sequence_id=[x[0] for x in got], offset=[x[1] for x in got])
 
-    numbered = made.join(first, ["length", "part"]).withColumn("number", F.col("number") + F.col("before"))
+    # Counts by task and length grow with the number of tasks, so they are not broadcast.
+    numbered = made.join(first.hint("merge"), ["length", "part"]).withColumn("number", F.col("number") + F.col("before"))
     return numbered.select(*(f.name for f in keep), "number").mapInPandas(run, schema)
 
 
