@@ -203,7 +203,7 @@ def recency_filter(spark, sf):
 
 def boundary_truncation(spark, sf):
     rows = classify.with_blocks(findings(spark, sf), recognised(spark, sf), chunking.tails(chunk_rows(spark, sf)))
-    return rows.filter(classify.cut_off(ends=ENDS)).select("doc_id", "ord")
+    return rows.filter(classify.cut_off(ends="!?")).select("doc_id", "ord")
 
 
 def drop_reason_counts(spark, sf):
