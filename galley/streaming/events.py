@@ -18,13 +18,13 @@ def read(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFram
 
 
 def once(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each event once, however often it is delivered within the time for late ones."""
+    """Each event once, however often it is delivered within the time for late ones; sets the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def decisions(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """begin, status, n: decisions of each kind in each stretch of time."""
-    counts = events.withWatermark("ts", late).groupBy(F.window("ts", width), "status").agg(F.count("*").alias("n"))
+def decisions(events: DataFrame, width: str = "1 day") -> DataFrame:
+    """begin, status, n: decisions of each kind in each stretch of time. A stream has a watermark already."""
+    counts = events.groupBy(F.window("ts", width), "status").agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("begin"), "status", "n")
 
 
