@@ -1,0 +1,258 @@
+"""The operators' own interfaces: models, indexes, masks, parts that queries do not show."""
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from galley.llm import bpe, components, exact_dedup, hmm, language, line_dedup, packing, pii, quality, simhash, url_filter
+from galley.llm.common import written
+
+
+def test_forward_is_exact():
+    """Against the sum over all state paths."""
+    rng = np.random.default_rng(1)
+    rows = lambda *s: (x := rng.random(s)) / x.sum(axis=-1, keepdims=True)
+    model = hmm.Hmm(rows(hmm.STATES), rows(hmm.STATES), rows(hmm.STATES, hmm.STATES), rows(hmm.STATES, hmm.CLASSES))
+    seqs = [np.array(z, np.int16) for z in ([3, 5, 0], [7], [1, 2])]
+    for group, block, lengths in hmm.blocks(seqs):
+        got = model.forward(block, lengths, np.broadcast_to(model.start, (len(group), hmm.STATES)))
+        for i, log in zip(group, got, strict=True):
+            z, total = seqs[i], 0.0
+            for path in itertools.product(range(hmm.STATES), repeat=len(z)):
+                p = model.start[path[0]] * model.emit[path[0], z[0]]
+                for t in range(1, len(z)):
+                    p *= model.move[path[t - 1], path[t]] * model.emit[path[t], z[t]]
+                total += float(p)
+            assert abs(log - np.log10(total)) < 1e-4
+
+
+def test_expected_counts_sum_to_tokens():
+    even = np.full(hmm.CLASSES, 1 / hmm.CLASSES)
+    model = hmm.Hmm.from_seeds([np.array([1, 2, 3, 0], np.int16), np.array([900, 901, 0], np.int16)], even)
+    seqs = [np.array([1, 2, 3, 0], np.int16), np.array([5, 0], np.int16)]
+    for group, block, lengths in hmm.blocks(seqs):
+        v = model.expected(block, lengths, np.array([True, False])[group])
+        k = hmm.STATES
+        assert abs(v[:k].sum() - 1) < 1e-4 and abs(v[k : 2 * k].sum() - 1) < 1e-4
+        assert abs(v[2 * k : 2 * k + k * k].sum() - 4) < 1e-3 and abs(v[2 * k + k * k :].sum() - 6) < 1e-3
+
+
+def test_index_over_batches(spark):
+    first = written(spark.createDataFrame([(1, "a b"), (2, "ab  "), (3, "c")], "doc_id long, text string"), "t")
+    second = written(spark.createDataFrame([(4, "c"), (5, "d"), (6, "d"), (7, None), (8, " ")], "doc_id long, text string"), "t")
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    got = [{r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(d, index).collect()} for d in (first, second)]
+    assert got[0] == {1: (2, False), 2: (2, True), 3: (3, True)}
+    assert got[1] == {4: (3, False), 5: (5, True), 6: (5, False), 7: (8, False), 8: (8, True)}
+    assert index.read().count() == 4
+    again = exact_dedup.drop_copies(written(first, "t"))
+    assert sorted(r["doc_id"] for r in again.collect()) == [2, 3]
+
+
+def test_repeated_rows_keep_one(spark):
+    d = written(spark.createDataFrame([(1, "a", "x")] * 3, "doc_id long, text string, digest string"), "t")
+    assert [tuple(r) for r in exact_dedup.drop_copies(d).collect()] == [(1, "a", "x")]
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)]
+    up = {x: x for e in edges for x in e}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: top(x) for e in edges if e[0] != e[1] for x in e}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 8])
+def test_near_pairs_are_all_linked(spark, monkeypatch, block):
+    """A dense ball and strangers; small blocks deal one bucket out as pairs of blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    ball = {0x1234567890ABCDEF ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(120)}
+    fps = np.array(sorted(ball | {int(x) for x in rng.integers(0, 2**63, 200)}), np.uint64)
+    nodes = written(spark.createDataFrame([(i, [int(x)]) for i, x in enumerate(fps.view(np.int64))], "node long, fp array<long>"), "n")
+    got = {r["node"]: r["root"] for r in components.components(simhash.bucket_links(nodes, simhash.exact_keys, 3)).collect()}
+    up = list(range(len(fps)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3):
+            up[max(top(i), top(j))] = min(top(i), top(j))
+    assert [got.get(i, i) for i in range(len(fps))] == [top(i) for i in range(len(fps))]
+
+
+def test_pivots():
+    d = np.bitwise_count(simhash.PIVOTS[:, None] ^ simhash.PIVOTS)
+    assert set(d[~np.eye(len(d), dtype=bool)].tolist()) == {32}
+
+
+def test_near_copies_stage(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = {}
+    for g in range(12):
+        base = [word() for _ in range(300)]
+        texts[g * 10] = " ".join(base)
+        for k in range(1, 4):
+            copy = list(base)
+            copy[k * 60] = word()
+            texts[g * 10 + k] = " ".join(copy)
+        far = list(base)
+        for i in range(0, 300, 10):
+            far[i] = word()
+        texts[g * 10 + 9] = " ".join(far)
+    d = written(spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("fp", F.lit(1)), "t")
+    got = simhash.drop_near(d)
+    assert got.columns == d.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i in texts if i % 10 in (0, 9))
+
+
+def test_fullest():
+    assert packing.fullest([(7, 1), (5, 2), (3, 4)], 13) in ([(7, 1), (3, 2)], [(5, 2), (3, 1)])
+    assert packing.fullest([(9, 3)], 5) == []
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        lengths = sorted({int(x): int(rng.integers(1, 4)) for x in rng.integers(2, 30, 5)}.items(), reverse=True)
+        room = int(rng.integers(5, 60))
+        best = max((sum(n * k for (n, _), k in zip(lengths, ks, strict=True)) for ks in itertools.product(*(range(c + 1) for _, c in lengths)) if sum(n * k for (n, _), k in zip(lengths, ks, strict=True)) <= room))
+        got = packing.fullest(lengths, room)
+        assert sum(n * k for n, k in got) == best and all(k <= dict(lengths)[n] for n, k in got)
+
+
+def test_plan_places_each_piece_once():
+    hist = {2048: 3, 1500: 10, 548: 4, 300: 25, 7: 500}
+    slots = packing.plan(hist)
+    taken = {}
+    for n, c in hist.items():
+        for i in range(c):
+            b, at = packing.place(slots, n, i)
+            taken.setdefault(b, []).append((at, n))
+    for b in taken.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(taken) <= -(-sum(n * c for n, c in hist.items()) // 2048) + 1
+
+
+def test_sequences_hold_the_ids(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    d = spark.createDataFrame([(1, "hello there"), (2, "x " * 5000), (3, None)], "doc_id long, text string")
+    packed = packing.pack(written(packing.pieces(d, path, with_ids=True), "p"))
+    got = packing.sequences(packed).collect()
+    assert sum(len(r["ids"]) for r in got) == 4 * sum(r["length"] for r in packed.collect())
+
+
+def test_masks(spark):
+    rows = [(1, "write a@b.org or +1 (800) 555-1234.", "k"), (2, None, None), (3, "nothing", None)]
+    got = {r["doc_id"]: r["text"] for r in pii.mask_pii(spark.createDataFrame(rows, "doc_id long, text string, k string")).collect()}
+    assert got == {1: "write <EMAIL> or <PHONE>.", 2: None, 3: "nothing"}
+
+
+@pytest.mark.parametrize(("code", "want"), [("GB82WEST12345698765432", True), ("GB83WEST12345698765432", False)])
+def test_mod97(spark, code, want):
+    assert spark.range(1).select(pii.mod97(F.lit(code))).first()[0] is want
+
+
+def test_context_moves_the_score(spark):
+    rows = [(1, "ssn 123-45-6789"), (2, "part 123-45-6789"), (3, "ssn 000-45-6789")]
+    got = {r["doc_id"]: len(r["pii_spans"]) for r in pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}
+
+
+def test_outliers_against_direct_estimate(spark):
+    """One group, against the same steps in numpy with exact subsets."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal((500, 0, 0, 100, 130, 170), (60, 5, 5, 30, 40, 45), (400, 6)), rng.normal((800, 500, 0, 100, 130, 600), 40, (40, 6))]).round().astype(int)
+    rows = written(spark.createDataFrame([("g", i, list(map(int, v))) for i, v in enumerate(x)], "grp string, doc_id long, x array<int>"), "x")
+    model = quality.fit(rows)
+    d2 = np.array([r["d2"] for r in quality.salted(rows, model, ["grp"]).withColumn("d2", quality.distance()).orderBy("doc_id").collect()])
+    y, floors = x / quality.UNIT, np.array(quality.FLOORS)
+    mu = np.median(y, axis=0)
+    inv = np.diag(1 / np.maximum(1.4826 * np.median(abs(y - mu), axis=0), floors) ** 2)
+    for _ in range(quality.STEPS):
+        d = np.einsum("ij,jk,ik->i", y - mu, inv, y - mu)
+        inner = y[d <= np.sort(d)[int(np.ceil(quality.SUBSET * len(y))) - 1]]
+        mu, cov = inner.mean(axis=0), quality.CONSISTENT * np.cov(inner.T, bias=True)
+        inv = np.linalg.inv(cov + np.diag(np.maximum(floors**2 - np.diag(cov), 0)))
+    want = np.einsum("ij,jk,ik->i", y - mu, inv, y - mu)
+    assert ((d2 > quality.CUTOFF) == (want > quality.CUTOFF)).mean() > 0.99
+    assert (d2[400:] > quality.CUTOFF).all() and (d2[:400] <= quality.CUTOFF).mean() > 0.99
+
+
+def test_small_groups_are_kept(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    d = spark.createDataFrame([(1, text, None, None), (2, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["kept"] for r in quality.judged(d).collect()} == {1: True, 2: False}
+
+
+def test_unknown_language_goes(spark):
+    d = written(spark.createDataFrame([(1, "the house is red and the dog", "en", "c"), (2, "123 !!", "en", "c"), (3, None, None, None)], "doc_id long, text string, lang string, score string"), "t")
+    got = language.drop_unknown(d)
+    assert got.columns == d.columns and [r["doc_id"] for r in got.collect()] == [1]
+
+
+def test_vectors_do_not_depend_on_the_table(monkeypatch):
+    g = np.array([(97 << 42) | (98 << 21) | 99, (32 << 42) | (97 << 21) | 98, (97 << 42) | (97 << 21) | 97])
+    once = language.gram_vectors(g).copy()
+    monkeypatch.setattr(language, "KEPT", 0)
+    assert (language.gram_vectors(g) == once).all() and (np.stack([language.gram_vector(int(x)) for x in g]) == once).all()
+
+
+def test_long_words_merge_alike():
+    import public_tokenizers
+
+    m = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    parts = [m.ids[c] for c in "thethethingandthe" * 10]
+    assert m.merge_long(list(parts)) == m.merge(list(parts))
+
+
+def test_templates(spark):
+    lines = [f"Report number {i} was filed by clerk{i} at the desk of {n} today" for i, n in enumerate("ann bob cid dan eve fay gus hal ivy joy kim lea".split())]
+    rows = [(i, f"{w} {w}{w} own words of text\n{x}\n") for (i, x), w in zip(enumerate(lines), "abcdefghijkl", strict=True)]
+    d = written(spark.createDataFrame([*rows, (90, None), (91, ""), (92, "a\n\nb")], "doc_id long, text string").withColumn("leaf", F.lit("c")), "t")
+    got = {r["doc_id"]: r for r in line_dedup.drop_lines(d).collect()}
+    assert all(got[i]["n_dropped"] == 1 and lines[i] not in got[i]["text"] for i in range(12))
+    assert got[90]["text"] is None and got[91]["text"] == "" and got[92]["text"] == "a\n\nb" and got[92]["n_lines"] == 2
+
+
+def test_intervals(spark):
+    import datetime as dt
+
+    day = lambda n: dt.date(2024, 1, n)
+    entries = spark.createDataFrame([("a", "block", "x.org", day(2), "add"), ("a", "block", "x.org", day(5), "remove"), ("b", "allow", "ok.x.org", day(3), "add"), ("a", "block", "y.org", day(4), "add"), ("a", "block", "y.org", day(4), "remove"), ("a", "block", None, day(1), "add")], "list string, kind string, domain string, since date, action string")
+    asked = [("http://x.org/", 1), ("http://x.org/", 2), ("http://a.X.org:8/", 4), ("http://x.org/", 5), ("http://ok.x.org/", 2), ("http://ok.x.org/", 4), ("http://y.org", 9), ("http://nox.org", 3), (None, 3)]
+    captures = written(spark.createDataFrame([(i, u, day(n), "c") for i, (u, n) in enumerate(asked)], "id int, url string, fetched date, domain string"), "c")
+    got = [r["decision"] for r in url_filter.judged(captures, entries).orderBy("id").collect()]
+    assert got == ["none", "block", "block", "none", "block", "allow", "none", "none", "none"]
+
+
+def test_pipeline(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, rows = docs.columns, docs
+    assert [f(spark, rows.limit(0), sf).count() for _, f in corpus_pipeline.STAGES[:1]] == [0]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = written(stage(spark, rows, sf), name)
+        assert rows.columns == columns
+    kept = {r["doc_id"] for r in rows.collect()}
+    out = corpus_pipeline.run(spark, sf)
+    assert {r["doc_id"] for r in out.collect()} == kept
