@@ -16,21 +16,33 @@ once; repeated rows are documents of their own; an empty table gives an empty re
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, written
 
 LEADING, CHILDREN, FIXED, LEAST_DOCS = 3, 8, 0.6, 3
+#: Up to so many leaves (16 bytes each) with variable positions are broadcast to find their lines, else joined.
+FEW_LEAVES = 200_000
 SPACE = r"[\x20\x09-\x0D]"
 TOKEN = r"[^\x20\x09-\x0D]"
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The tokens of a line joined by one space, variable ones replaced."""
+def evened(line: Column) -> Column:
+    """The line without white space at its ends and one space within; most lines are so already."""
+    odd = reduce(or_, (F.contains(line, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")), F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")))
     even = F.regexp_replace(F.regexp_replace(line, F.lit(f"{SPACE}+"), F.lit(" ")), F.lit("^ | $"), F.lit(""))
-    return F.regexp_replace(even, F.lit(r"(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*"), F.lit(FIELD))
+    return F.when(odd, even).otherwise(line)
+
+
+def masked(even: Column) -> Column:
+    """The tokens of an even line, variable ones replaced; most lines have none."""
+    fields = F.regexp_replace(even, F.lit(r"(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*"), F.lit(FIELD))
+    return F.when(even.rlike("[0-9@]"), fields).otherwise(even)
 
 
 def digest(c: Column) -> Column:
@@ -41,7 +53,8 @@ def lines(docs: DataFrame) -> DataFrame:
     """row_id, at (the line's place), masked, leaf, whole of each line with a token."""
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), "text")
     each = numbered.select("row_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = each.select("row_id", "at", masked(F.col("line")).alias("masked")).filter("masked <> ''")
+    even = each.filter(F.col("line").rlike(TOKEN)).select("row_id", "at", evened(F.col("line")).alias("even"))
+    rows = even.select("row_id", "at", masked(F.col("even")).alias("masked"))
     spaces = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit("")))
     head = F.substring_index("masked", " ", LEADING)
     return rows.select("row_id", "at", "masked", digest(F.concat_ws(" ", spaces, head)).alias("leaf"), digest(F.col("masked")).alias("whole"))
@@ -51,7 +64,8 @@ def branches(docs: DataFrame, thin: DataFrame) -> DataFrame:
     """leaf, whole, template for the different lines of leaves with variable positions."""
     wide = thin.groupBy("leaf", "whole").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > CHILDREN)
     wide = written(wide.select("leaf"), "wide")
-    found = lines(docs).join(wide, "leaf", "left_semi").groupBy("leaf", "whole").agg(F.min("masked").alias("masked"))
+    few = wide.count() <= FEW_LEAVES
+    found = lines(docs).join(F.broadcast(wide) if few else wide.hint("merge"), "leaf", "left_semi").groupBy("leaf", "whole").agg(F.min("masked").alias("masked"))
     rows = written(found, "branches")
     tokens = rows.select("leaf", F.posexplode(F.split("masked", " ")).alias("i", "token"))
     kinds = tokens.groupBy("leaf", "i", "token").agg(F.count("*").alias("n")).groupBy("leaf", "i").agg(F.count("*").alias("n"))
