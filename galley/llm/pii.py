@@ -165,8 +165,12 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s.k), s.start, s.end)), ",")
 
 
+def number_of(no: int) -> Column:
+    return F.size(F.filter("pii_spans", lambda s: s.k == no))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = with_spans(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "pii_spans")
-    count = [F.size(F.filter("pii_spans", lambda s, i=i: s.k == i)).cast("long").alias(f"n_{name}") for i, name in enumerate(BASE)]
+    count = [number_of(no).cast("long").alias(f"n_{name}") for no, name in enumerate(BASE)]
     base = listed(F.filter("pii_spans", lambda s: s.k < len(BASE)))
     return spans.select("doc_id", *count, F.sha2(base, 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"))
