@@ -6,6 +6,7 @@ documents is made per pair, as it needs both sentence lists at once.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from galley import constants as K
 from galley.functions import text as T
 
-DIFFS = "kind string, original_text string, formatted_text string, original_at long, formatted_at long, seq int"
+DIFFS = "pair_id long, seq int, kind string, original_text string, formatted_text string, page_location string, block_index int"
 
 
 def stream_pieces(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -83,36 +84,43 @@ def script(old: list[str], new: list[str]) -> list[tuple]:
     return out
 
 
+def side(blocks: DataFrame, ids: DataFrame, ends: str, name: str) -> DataFrame:
+    """name_id and name, a struct of a document's sentences (text, start) and pieces (start, block_index, place)."""
+    pieces = stream_pieces(blocks.join(ids.distinct(), "doc_id", "left_semi")).join(blocks.select("doc_id", "block_index", "source_location"), ["doc_id", "block_index"])
+    rows = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "piece_no", "block_index", "source_location", "piece"))).alias("p"))
+    cut = T.pieces_after(F.array_join("p.piece", ""), ends)
+    where = F.transform("p", lambda x: F.struct(x.start.alias("start"), x.block_index.alias("block_index"), x.source_location.alias("place")))
+    return rows.select(F.col("doc_id").alias(f"{name}_id"), cut.alias(f"{name}_s"), where.alias(f"{name}_p"))
+
+
+def place_of(sentences: list[str], pieces: list, at: int) -> tuple:
+    """block_index and place of the block in which the at-th sentence starts."""
+    start = sum(map(len, sentences[:at]))
+    p = pieces[max(0, bisect.bisect_right(pieces, start, key=lambda x: x["start"]) - 1)]
+    return p["block_index"], p["place"]
+
+
 def diffs(pairs: DataFrame, original: DataFrame, formatted: DataFrame, ends: str = K.SENTENCE_END) -> DataFrame:
     """One row for each difference of each pair. pairs: pair_id, original_id, formatted_id; the other two are block
     tables (doc_id, block_index, text, block_type, source_location)."""
-    sides = {}
-    for side, blocks, ident in (("o", original, "original_id"), ("f", formatted, "formatted_id")):
-        mine = blocks.join(pairs.select(F.col(ident).alias("doc_id")).distinct(), "doc_id", "left_semi")
-        pieces = stream_pieces(mine)
-        sides[side] = (mine, pieces, sentences(streams(pieces), ends))
-    lists = {s: v[2].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "sentence", "start"))).alias("s")) for s, v in sides.items()}
-    joined = pairs.join(lists["o"].select(F.col("doc_id").alias("original_id"), F.col("s").alias("o")), "original_id", "left").join(lists["f"].select(F.col("doc_id").alias("formatted_id"), F.col("s").alias("f")), "formatted_id", "left")
+    old = side(original, pairs.select(F.col("original_id").alias("doc_id")), ends, "original")
+    new = side(formatted, pairs.select(F.col("formatted_id").alias("doc_id")), ends, "formatted")
+    joined = pairs.join(old, "original_id", "left").join(new, "formatted_id", "left")
 
     def run(frames):
         for pdf in frames:
             rows = []
-            for p, a, b, o, f in zip(pdf["pair_id"], pdf["original_id"], pdf["formatted_id"], pdf["o"], pdf["f"], strict=True):
-                o, f = (x if x is not None else [] for x in (o, f))
-                for n, (kind, old, new, i, j) in enumerate(script([x["sentence"] for x in o], [x["sentence"] for x in f])):
-                    rows.append((p, a, b, kind, old, new, o[i]["start"] if i >= 0 else None, f[j]["start"] if j >= 0 else None, n))
-            out = pd.DataFrame(rows, columns=["pair_id", "original_id", "formatted_id", *(x.split()[0] for x in DIFFS.split(", "))])
-            yield out.astype({"original_at": "Int64", "formatted_at": "Int64"})
-
-    found = joined.select("pair_id", "original_id", "formatted_id", "o", "f").mapInPandas(run, "pair_id long, original_id long, formatted_id long, " + DIFFS)
-    for side, ident, at in (("o", "original_id", "original_at"), ("f", "formatted_id", "formatted_at")):
-        mine, pieces, _ = sides[side]
-        points = found.filter(F.col(at).isNotNull()).select(F.col(ident).alias("doc_id"), F.col(at).alias("start")).distinct()
-        where = block_at(points, pieces).join(mine.select("doc_id", "block_index", "source_location"), ["doc_id", "block_index"], "left")
-        found = found.join(where.select(F.col("doc_id").alias(ident), F.col("start").alias(at), F.col("block_index").alias(f"__b{side}"), F.col("source_location").alias(f"__l{side}")), [ident, at], "left")
-    gone = (F.col("kind") == "delete") | F.col("__bf").isNull()
+            for r in pdf.itertuples(index=False):
+                o, op, f, fp = (list(x) if x is not None else [] for x in (r.original_s, r.original_p, r.formatted_s, r.formatted_p))
+                for n, (kind, a, b, i, j) in enumerate(script(o, f)):
+                    here = place_of(f, fp, j) if j >= 0 else (None, None)
+                    there = place_of(o, op, i)[1] if i >= 0 else None
+                    gone = kind == "delete" or j < 0
+                    rows.append((r.pair_id, n, kind, a, b, ("(原稿)" + there if there else "") if gone else here[1], None if gone else here[0]))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in DIFFS.split(", ")]).astype({"block_index": "Int32"})
+
+    found = joined.select("pair_id", "original_s", "original_p", "formatted_s", "formatted_p").mapInPandas(run, DIFFS)
     label = F.create_map(*(F.lit(x) for kv in K.DIFF_KINDS.items() for x in kv))[F.col("kind")]
     # The sentences stored with a difference.
     text = F.when(F.col("kind") == "insert", "排版稿新增内容，原稿无对应文字").when(F.col("kind") == "delete", F.concat(F.lit("原稿为："), "original_text", F.lit("，排版稿中未找到对应内容"))).otherwise(F.concat(F.lit("原稿为："), "original_text"))
-    place = F.when(gone, F.coalesce(F.concat(F.lit("(原稿)"), "__lo"), F.lit(""))).otherwise(F.col("__lf"))
-    return found.select("pair_id", "seq", label.alias("diff_type"), "original_text", "formatted_text", place.alias("page_location"), F.when(~gone, F.col("__bf")).alias("block_index"), F.lit(K.CONFIRMED).alias("layer"), text.alias("suggestion"))
+    return found.select("pair_id", "seq", label.alias("diff_type"), "original_text", "formatted_text", "page_location", "block_index", F.lit(K.CONFIRMED).alias("layer"), text.alias("suggestion"))
