@@ -164,22 +164,22 @@ def links(fp: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]
     return out
 
 
-def nearest(fp: np.ndarray, side: np.ndarray, radius: int, k: int) -> list[tuple[int, int]]:
-    """For each position its k nearest within radius, of the other side if there are two."""
+def nearest(fp: np.ndarray, side: np.ndarray, radius: int, k: int, of: np.ndarray) -> list[tuple[int, int]]:
+    """For each of these positions its k nearest within radius, of the other side if there are two."""
     out, two = [], side.any()
-    for s in range(0, len(fp), 64):
-        d = sum(np.bitwise_count(fp[s : s + 64, p, None] ^ fp[None, :, p]).astype(np.int16) for p in range(fp.shape[1]))
-        far = side[s : s + 64, None] == side[None, :] if two else np.arange(s, s + len(d))[:, None] == np.arange(len(fp))
-        d[far] = np.iinfo(np.int16).max
+    for s in range(0, len(of), 64):
+        at = of[s : s + 64]
+        d = sum(np.bitwise_count(fp[at, p, None] ^ fp[None, :, p]).astype(np.int16) for p in range(fp.shape[1]))
+        d[side[at, None] == side[None, :] if two else at[:, None] == np.arange(len(fp))] = np.iinfo(np.int16).max
         best = np.argsort(d, axis=1, kind="stable")[:, :k]
         for i, row in enumerate(best):
-            out += [(s + i, j) for j in row if d[i, j] <= radius]
+            out += [(at[i], j) for j in row if d[i, j] <= radius]
     return out
 
 
-def bucket_links(nodes: DataFrame, keys, radius: int, neighbours: int = 0) -> DataFrame:
-    """Edges (u, v) of node ids that connect each bucket's components, and to each node's nearest neighbours.
-    nodes: node long, fp array<long>, distinct fingerprints."""
+def bucket_links(nodes: DataFrame, keys, radius: int, neighbours: int = 0, sure: int = 0) -> DataFrame:
+    """Edges (u, v) of node ids that connect each bucket's components; where such an edge is longer than sure, also
+    the ones to its ends' nearest neighbours. nodes: node long, fp array<long>, distinct fingerprints."""
     parts = shuffle_parts(nodes.sparkSession)
 
     def keyed(batches):
@@ -195,7 +195,11 @@ def bucket_links(nodes: DataFrame, keys, radius: int, neighbours: int = 0) -> Da
             if len(group) < 2:
                 return None
             fp, side = np.stack(group["fp"].to_numpy()).view(np.uint64), group["side"].to_numpy()
-            got = links(fp, side, radius) + (nearest(fp, side, radius, neighbours) if neighbours else [])
+            got = links(fp, side, radius)
+            if neighbours and got:
+                ends = np.array(got)
+                doubtful = np.unique(ends[distances(fp[ends[:, 0]], fp[ends[:, 1]]) > sure])
+                got += nearest(fp, side, radius, neighbours, doubtful)
             ids = group["node"].to_numpy()
             return pd.DataFrame({"u": ids[[a for a, _ in got]], "v": ids[[b for _, b in got]]}) if got else None
 
@@ -275,13 +279,15 @@ def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5, parts: i
     Fingerprints of parts * 64 bits over distinct shingles of shingle words propose pairs: bands of width
     bits (all but a few hundredths of the pairs at 0.8, all well above), a Hamming radius three standard
     deviations above what the similarity stands for. A bucket proposes links that connect its near
-    fingerprints and each one's nearest neighbours; the exact similarity of the texts decides.
+    fingerprints and, where such a link may fail, its ends' nearest neighbours; the exact similarity of the
+    texts decides.
     docs must be a table, as its rows are numbered by their place.
     """
     rows = written(fingerprints(docs, shingle, parts, once=True), "fingerprints")
-    radius = similar_radius(similarity, shingle, words, 64 * parts)
-    radius += round(3 * np.sqrt(radius * (1 - radius / (64 * parts))))
-    found = near_components(rows, lambda n: verified(bucket_links(n, band_keys(width), radius, neighbours), docs, similarity, words))
+    middle = similar_radius(similarity, shingle, words, 64 * parts)
+    deviation = np.sqrt(middle * (1 - middle / (64 * parts)))
+    radius, sure = round(middle + 3 * deviation), round(middle - 2 * deviation)
+    found = near_components(rows, lambda n: verified(bucket_links(n, band_keys(width), radius, neighbours, sure), docs, similarity, words))
     kept = found.filter("row_id = keep_row").select(F.col("row_id").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
 
