@@ -5,7 +5,7 @@ r"""SimHash near-dedup with pivot distance tables.
 2. Equal fingerprints are joined by a partial aggregation, so copies cost one row.
 3. Distinct fingerprints that can be near meet in buckets. `exact_keys` is lossless for a radius of 3:
    of four 16-bit blocks one is equal, and of four 12-bit blocks of the other 48 bits one is equal, so
-   16 keys of 28 bits suffice. `band_keys` cuts many parts into bands for larger radii.
+   16 keys of 28 bits suffice.
 4. In a bucket each fingerprint has a table of its Hamming distances to PIVOTS, rows of the 64-bit
    Walsh-Hadamard code, which lie 32 bits apart. By the triangle inequality two fingerprints within r
    differ by at most r in every coordinate; pairs that differ by more are discarded, survivors are
@@ -14,6 +14,9 @@ r"""SimHash near-dedup with pivot distance tables.
    fingerprints is dealt out as pairs of blocks, so that no task holds more than two blocks of it.
 5. The links of all buckets are joined by distributed connected components.
 
+`drop_near` needs a similarity of 0.8, for which fingerprints are too coarse: MinHash bands over the very shingles
+that are judged propose pairs there, and the exact similarity of all that meet decides (see `similar_links`).
+
 Defined results: null and empty texts have fingerprint zero, which links like any other; repeated rows
 are copies; an empty table gives an empty result; other columns are ignored or, in `drop_near`, kept.
 """
@@ -27,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .common import documents, shuffle_parts, written
 from .components import components
@@ -39,6 +42,12 @@ BLOCK = 4096
 PIVOTS = np.array([sum((((i & j).bit_count() & 1) << j) for j in range(64)) for i in range(1, 64, 4)], dtype=np.uint64)
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: MinHash bands and the least hashes in each. Two sets of similarity j share a band's key with j ** BAND_ROWS: of the
+#: pairs at exactly 0.8 all but 5 in a million share one, whatever the difference looks like.
+BANDS, BAND_ROWS = 40, 6
+FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts of one bucket whose shingles one task compares with each other, or with as many others.
+SET_BLOCK = 1024
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
@@ -105,20 +114,6 @@ def exact_keys(fp: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def band_keys(width: int):
-    """Keys that cut every part into 64 // width bands."""
-
-    def keys(fp: np.ndarray) -> list[np.ndarray]:
-        out, bands = [], 64 // width
-        for p in range(fp.shape[1]):
-            x = fp[:, p].view(np.uint64)
-            for j in range(bands):
-                out.append((np.uint64(p * bands + j) << np.uint64(width)) | ((x >> np.uint64(width * j)) & np.uint64((1 << width) - 1)))
-        return out
-
-    return keys
-
-
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances over all parts; the arrays broadcast."""
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
@@ -164,45 +159,12 @@ def links(fp: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]
     return out
 
 
-def nearest(fp: np.ndarray, side: np.ndarray, radius: int, k: int, of: np.ndarray) -> list[tuple[int, int]]:
-    """For each of these positions its k nearest within radius, of the other side if there are two."""
-    out, two = [], side.any()
-    for s in range(0, len(of), 64):
-        at = of[s : s + 64]
-        d = sum(np.bitwise_count(fp[at, p, None] ^ fp[None, :, p]).astype(np.int16) for p in range(fp.shape[1]))
-        d[side[at, None] == side[None, :] if two else at[:, None] == np.arange(len(fp))] = np.iinfo(np.int16).max
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        for i, row in enumerate(best):
-            out += [(at[i], j) for j in row if d[i, j] <= radius]
-    return out
-
-
-def bucket_links(nodes: DataFrame, keys, radius: int, neighbours: int = 0, sure: int = 0) -> DataFrame:
-    """Edges (u, v) of node ids that connect each bucket's components; where such an edge is longer than sure, also
-    the ones to its ends' nearest neighbours. nodes: node long, fp array<long>, distinct fingerprints."""
-    parts = shuffle_parts(nodes.sparkSession)
-
-    def keyed(batches):
-        for b in batches:
-            fp = np.stack(b.column("fp").to_numpy(zero_copy_only=False)) if len(b) else np.zeros((0, 1), np.int64)
-            for k in keys(fp):
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b.column("node")], ["key", "node"])
+def by_group(done):
+    """For frames sorted by key and pair: done(group) of each group of two rows or more, without its Nones."""
 
     def run(frames):
         held: list[pd.DataFrame] = []
 
-        def done(group: pd.DataFrame):
-            if len(group) < 2:
-                return None
-            fp, side = np.stack(group["fp"].to_numpy()).view(np.uint64), group["side"].to_numpy()
-            got = links(fp, side, radius)
-            if neighbours and got:
-                ends = np.array(got)
-                doubtful = np.unique(ends[distances(fp[ends[:, 0]], fp[ends[:, 1]]) > sure])
-                got += nearest(fp, side, radius, neighbours, doubtful)
-            ids = group["node"].to_numpy()
-            return pd.DataFrame({"u": ids[[a for a, _ in got]], "v": ids[[b for _, b in got]]}) if got else None
-
         def cut(pdf: pd.DataFrame, last: bool):
             same = ((pdf["key"].shift() == pdf["key"]) & (pdf["pair"].shift() == pdf["pair"])).to_numpy()
             at = np.flatnonzero(~same)
@@ -219,6 +181,26 @@ def bucket_links(nodes: DataFrame, keys, radius: int, neighbours: int = 0, sure:
         if held:
             yield from (x for x in cut(pd.concat(held, ignore_index=True), True) if x is not None)
 
+    return run
+
+
+def bucket_links(nodes: DataFrame, keys, radius: int) -> DataFrame:
+    """Edges (u, v) of node ids that connect each bucket's components. nodes: node long, fp array<long>, distinct
+    fingerprints."""
+    parts = shuffle_parts(nodes.sparkSession)
+
+    def keyed(batches):
+        for b in batches:
+            fp = np.stack(b.column("fp").to_numpy(zero_copy_only=False)) if len(b) else np.zeros((0, 1), np.int64)
+            for k in keys(fp):
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b.column("node")], ["key", "node"])
+
+    def done(group: pd.DataFrame):
+        got = links(np.stack(group["fp"].to_numpy()).view(np.uint64), group["side"].to_numpy(), radius)
+        ids = group["node"].to_numpy()
+        return pd.DataFrame({"u": ids[[a for a, _ in got]], "v": ids[[b for _, b in got]]}) if got else None
+
+    run = by_group(done)
     rows = written(nodes.mapInArrow(keyed, "key long, node long"), "keyed")
     shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     met = written(rows.join(shared, "key").join(nodes, "node"), "met")  # fingerprints travel only with keys that are shared
@@ -250,44 +232,69 @@ def near_components(rows: DataFrame, edges_of) -> DataFrame:
     return out.select("row_id", "doc_id", "fp", F.col("best.doc_id").alias("component_id"), F.col("best.row_id").alias("keep_row"))
 
 
-def verified(edges: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The edges whose texts have this Jaccard similarity or more over distinct shingles of words words."""
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each MinHash band of a set of hashes; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 256):
+        least = np.minimum(least, (FACTORS[:, None] * hashes[None, at : at + 256]).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """row_id, doc_id, fp (two longs, a digest of the set of shingles) and keys of its bands."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array([shingle_hashes(t.as_py(), words, True).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))], ["row_id", "s"])
+            sets = [shingle_hashes(t.as_py(), words, True) for t in b.column("text")]
+            fp = pa.array([np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64) for s in sets], pa.list_(pa.int64()))
+            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), fp, keys], ["row_id", "doc_id", "fp", "keys"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(run, "row_id long, doc_id long, fp array<long>, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, of: DataFrame, words: int) -> DataFrame:
+    """node and s, the distinct shingle hashes, of the rows of docs that are in of (node)."""
+
+    def run(batches):
+        for b in batches:
+            s = pa.array([shingle_hashes(t.as_py(), words, True).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), s], ["node", "s"])
+
+    texts = docs.select(F.monotonically_increasing_id().alias("node"), "text").join(of, "node", "left_semi")
+    return texts.mapInArrow(run, "node long, s array<long>")
+
 
-    edges = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    ends = edges.select(F.col("u").alias("row_id")).union(edges.select("v")).distinct()
-    texts = docs.select(F.monotonically_increasing_id().alias("row_id"), "text").join(ends, "row_id", "left_semi")
-    sets = written(texts.mapInArrow(run, "row_id long, s array<long>"), "sets")
-    side = lambda e: sets.select(F.col("row_id").alias(e), F.col("s").alias(f"s{e}"))
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose sets have this Jaccard similarity or more."""
+    side = lambda e: sets.select(F.col("node").alias(e), F.col("s").alias(f"s{e}"))
     both = edges.join(side("u"), "u").join(side("v"), "v").withColumn("n", F.size(F.array_intersect("su", "sv")))
     return both.filter(F.col("n") >= F.lit(similarity) * (F.size("su") + F.size("sv") - F.col("n"))).select("u", "v")
 
 
-def similar_radius(similarity: float, size: int, verify: int, bits: int) -> int:
-    """The Hamming radius that stands for a Jaccard similarity over shingles of verify words when the
-    fingerprint has shingles of size words: a changed word changes as many shingles as they have words."""
-    changed = (1 - similarity) / (1 + similarity) * size / verify
-    return round(bits * np.arccos(1 - changed) / np.pi)
+def similar_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Edges (u, v) between the first node of each bucket and its others, as far as they are similar."""
+    keys = written(rows.join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "keys"), "keys")
+    each = keys.select("node", F.explode("keys").alias("key"))
+    shared = written(each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1").drop("n"), "shared")
+    met = written(each.join(shared, "key"), "met")
+    sets = written(shingle_sets(docs, met.select("node").distinct(), words), "sets")
+    star = met.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    return verified(star, sets, similarity)
 
 
-def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5, parts: int = 16, shingle: int = 3, width: int = 21, neighbours: int = 3) -> DataFrame:
+def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """docs with one document of each group of near copies: similarity or more over shingles of words words.
 
-    Fingerprints of parts * 64 bits over distinct shingles of shingle words propose pairs: bands of width
-    bits (all but a few hundredths of the pairs at 0.8, all well above), a Hamming radius three standard
-    deviations above what the similarity stands for. A bucket proposes links that connect its near
-    fingerprints and, where such a link may fail, its ends' nearest neighbours; the exact similarity of the
-    texts decides.
+    Documents of equal sets of shingles are one node. Nodes that share a MinHash band's key are compared exactly.
     docs must be a table, as its rows are numbered by their place.
     """
-    rows = written(fingerprints(docs, shingle, parts, once=True), "fingerprints")
-    middle = similar_radius(similarity, shingle, words, 64 * parts)
-    deviation = np.sqrt(middle * (1 - middle / (64 * parts)))
-    radius, sure = round(middle + 3 * deviation), round(middle - 2 * deviation)
-    found = near_components(rows, lambda n: verified(bucket_links(n, band_keys(width), radius, neighbours, sure), docs, similarity, words))
+    rows = written(signatures(docs, words), "signatures")
+    found = near_components(rows, lambda nodes: similar_links(nodes, rows, docs, similarity, words))
     kept = found.filter("row_id = keep_row").select(F.col("row_id").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
 

@@ -122,6 +122,36 @@ def test_near_copies_stage(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i in texts if i % 10 in (0, 9))
 
 
+def similar_groups(texts, words=5, similarity=0.8):
+    """The ids that stay, by brute force over all pairs."""
+    sets = {i: {tuple(t.split()[k : k + words]) for k in range(len(t.split()) - words + 1)} for i, t in texts.items()}
+    up = {i: i for i in texts}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            up[max(top(a), top(b))] = min(top(a), top(b))
+    return sorted(i for i in texts if top(i) == i)
+
+
+def test_block_edits_are_near(spark):
+    """A passage replaced, put in or appended: just at 0.8 over five-word shingles, against brute force."""
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1_000_000, n)]
+    texts = {}
+    for g in range(60):
+        base = words(404)  # 400 shingles, of which the replacement leaves 356, the insertion 396 of 495
+        copy = [base[:150] + words(40) + base[190:], base[:150] + words(91) + base[150:], base + words(100)][g % 3]
+        texts |= {2 * g: " ".join(base), 2 * g + 1: " ".join(copy)}
+    d = written(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "t")
+    got = sorted(r["doc_id"] for r in simhash.drop_near(d).collect())
+    assert len(got) == 60 and got == similar_groups(texts)
+
+
 def test_fullest():
     assert packing.fullest([(7, 1), (5, 2), (3, 4)], 13) in ([(7, 1), (3, 2)], [(5, 2), (3, 1)])
     assert packing.fullest([(9, 3)], 5) == []
