@@ -276,15 +276,75 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(F.col("n") >= F.lit(similarity) * (F.size("su") + F.size("sv") - F.col("n"))).select("u", "v")
 
 
+def set_links(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what is similar, as positions, where nodes of one root are connected already. With two
+    sides, links run between the sides. Every pair is compared whose ends aren't connected by then."""
+    size, out, two = np.array([len(s) for s in sets]), [], side.any()
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner, at = np.repeat(np.arange(len(sets)), size), np.concatenate(([0], np.cumsum(size)))
+    _, part = np.unique(root, return_inverse=True)
+    mark, rest = np.zeros(codes.max() + 1, bool), np.ones(len(sets), bool)
+    for p in np.argsort(np.bincount(part), kind="stable"):  # the largest last, which has nothing left to search for
+        queue = [p] if rest[part == p].all() else []
+        rest[part == p] = False
+        while queue and rest.any():
+            for q in np.flatnonzero(part == queue.pop()):
+                may = np.flatnonzero(rest & (side != side[q])) if two else np.flatnonzero(rest)
+                if not len(may):
+                    continue
+                own = codes[at[q] : at[q + 1]]
+                mark[own] = True
+                n = np.bincount(owner[mark[codes]], minlength=len(sets))[may]
+                mark[own] = False
+                found = may[n >= similarity * (size[q] + size[may] - n)]
+                reached, first = np.unique(part[found], return_index=True)
+                out += [(q, x) for x in found[first]]
+                queue += reached.tolist()
+                rest[np.isin(part, reached)] = False
+    return out
+
+
 def similar_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Edges (u, v) between the first node of each bucket and its others, as far as they are similar."""
+    """Edges (u, v) that connect what is similar among the nodes that share a band's key.
+
+    First each bucket's least node is compared with the others. What these links leave apart in a bucket is compared
+    in full, by blocks: all nodes with those outside the bucket's largest component. Of buckets with the same nodes
+    one is enough. So no pair that shares a key is left out unless its ends are connected.
+    """
     keys = written(rows.join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "keys"), "keys")
     each = keys.select("node", F.explode("keys").alias("key"))
     shared = written(each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1").drop("n"), "shared")
     met = written(each.join(shared, "key"), "met")
     sets = written(shingle_sets(docs, met.select("node").distinct(), words), "sets")
     star = met.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    return verified(star, sets, similarity)
+    first = written(verified(star, sets, similarity), "first")
+    state = met.filter("node <> hub").join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    state = written(state, "state")
+    mixed_ids = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    roots = state.groupBy("key", "root").agg(F.count("*").alias("n"), *mixed_ids)
+    top = F.max(F.struct("n", "root")).alias("top")
+    buckets = roots.groupBy("key").agg(top, F.sum("n").alias("n"), F.count("*").alias("roots"), *(F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)))
+    open_ones = written(buckets.filter("roots > 1").groupBy("x0", "x1", "n", "top").agg(F.min("key").alias("key")).select("key", "n", "top"), "open")
+    if open_ones.isEmpty():
+        return first
+    # Blocks 0 to m - 1 hold the largest component, the others the rest; only pairs with one of the rest are made.
+    blocks = lambda n: F.ceil(n / SET_BLOCK).cast("int")
+    wide, main = F.col("n") > SET_BLOCK, F.col("root") == F.col("top.root")
+    left = state.join(open_ones, "key").withColumns({"m": F.when(wide, blocks(F.col("top.n"))).otherwise(0), "k": F.when(wide, blocks(F.col("n") - F.col("top.n"))).otherwise(1)})
+    of = F.xxhash64("node")
+    left = left.withColumn("b", F.when(~wide, 0).when(main, F.pmod(of, "m")).otherwise(F.col("m") + F.pmod(of, "k")).cast("int"))
+    end = F.col("m") + F.col("k") - 1
+    left = left.withColumn("c", F.explode(F.sequence(F.when(wide & main, F.col("m")).otherwise(0), end)))
+    pair = F.least("b", "c") * (end + 1) + F.greatest("b", "c")
+    dealt = written(left.select("key", pair.alias("pair"), (F.col("b") > F.col("c")).cast("int").alias("side"), "node", "root"), "dealt")
+
+    def done(group: pd.DataFrame):
+        got = set_links([s.view(np.uint64) for s in group["s"]], group["root"].to_numpy(), group["side"].to_numpy(), similarity)
+        ids = group["node"].to_numpy()
+        return pd.DataFrame({"u": ids[[a for a, _ in got]], "v": ids[[b for _, b in got]]}) if got else None
+
+    ready = dealt.join(sets, "node").repartition(shuffle_parts(docs.sparkSession), "key", "pair").sortWithinPartitions("key", "pair", "node")
+    return first.union(ready.mapInPandas(by_group(done), "u long, v long"))
 
 
 def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:

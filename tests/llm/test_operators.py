@@ -152,6 +152,37 @@ def test_block_edits_are_near(spark):
     assert len(got) == 60 and got == similar_groups(texts)
 
 
+@pytest.mark.parametrize("block", [1024, 4])
+def test_families_joined_by_one_pair(spark, monkeypatch, block):
+    """Families of close copies, joined by some pairs at 0.8 or more and not by others, against brute force."""
+    monkeypatch.setattr(simhash, "SET_BLOCK", block)
+    rng = np.random.default_rng(10)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1_000_000, n)]
+    texts = {}
+    for g in range(8):
+        base = words(404)
+        for f, change in enumerate((0, 38)):  # 7 copies each, every one with 1 word of its own or more
+            for k in range(7):
+                copy = base[:200] + words(change) + base[200 + change :] if k == 0 else list(family)
+                if k == 0:
+                    family = list(copy)
+                for at in (300 + 8 * k,) if k in (0, 3) else (300 + 8 * k, 360 + 3 * k):
+                    copy[at] = words(1)[0]
+                texts[100 * g + 10 * f + k] = " ".join(copy)
+    d = written(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "t")
+    got = sorted(r["doc_id"] for r in simhash.drop_near(d).collect())
+    assert got == similar_groups(texts)
+
+
+def test_set_links():
+    """Three parts in a bucket: the middle one is similar to one node of each of the others only."""
+    s = lambda *r: np.concatenate([np.arange(a, b, dtype=np.uint64) for a, b in r])
+    sets = [s((0, 100)), s((0, 110)), s((10, 115)), s((500, 600)), s((18, 122))]
+    root, one = np.array([0, 0, 2, 3, 4]), np.zeros(5, int)
+    assert {tuple(sorted(map(int, x))) for x in simhash.set_links(sets, root, one, 0.8)} == {(1, 2), (2, 4)}
+    assert {tuple(sorted(map(int, x))) for x in simhash.set_links(sets, root, np.array([0, 0, 1, 1, 1]), 0.8)} == {(1, 2)}
+
+
 def test_fullest():
     assert packing.fullest([(7, 1), (5, 2), (3, 4)], 13) in ([(7, 1), (3, 2)], [(5, 2), (3, 1)])
     assert packing.fullest([(9, 3)], 5) == []
