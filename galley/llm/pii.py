@@ -96,7 +96,7 @@ KINDS = (
     Kind("short_card", r"(?<![0-9.,+])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![0-9])", card_ok(15, 15), "card|amex|credit|karte|carte|tarjeta", checked=True),
     Kind("national_id", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", None, "ssn|social security|tax id|national id"),
     Kind("local_phone", r"(?<![0-9+().-])\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}(?![0-9])", None, "phone|tel|call|mobile|fax"),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])", None, "token|secret|api[_ -]?key|passw", needs="="),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])", None, "token|secret|api[_ -]?key|passw"),
 )
 BASE = tuple(k.name for k in KINDS[:4])
 SPAN = "array<struct<k:int,start:int,end:int,score:double>>"

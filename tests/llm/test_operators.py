@@ -239,6 +239,13 @@ def test_context_moves_the_score(spark):
     assert got == {1: 1, 2: 0, 3: 0}
 
 
+def test_secrets_without_equals_sign(spark):
+    key = "0123456789abcdef" * 2
+    texts = [f"token: {key}", f"the api key {key} is old", f'{{"secret": "{key.upper()}"}}', f"token = {key}", f"commit {key}"]
+    got = {r["doc_id"]: r["text"] for r in pii.mask_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "token: <SECRET>", 1: "the api key <SECRET> is old", 2: '{"secret": "<SECRET>"}', 3: "token = <SECRET>", 4: texts[4]}
+
+
 def test_outliers_against_direct_estimate(spark):
     """One group, against the same steps in numpy with exact subsets."""
     rng = np.random.default_rng(6)
