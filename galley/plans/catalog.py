@@ -400,9 +400,8 @@ def wrapped_merge(spark, sf):
 
 def glyph_lines(spark, sf):
     """Blocks as glyphs eight units wide, spaces made narrow, and back to text."""
-    t = F.substring("text", 1, 400)
-    at = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
-    g = F.transform(at, lambda i: F.struct(i.alias("seq"), F.substring(t, i, F.lit(1)).alias("c"), (i * 8.0).alias("x0"), (i * 8.0 + 7.0).alias("x1")))
+    t = F.split(F.coalesce("text", F.lit("")), "")  # one element for each code point, in one pass over the text
+    g = F.transform(t, lambda c, i: F.struct((i + 1).alias("seq"), c.alias("c"), ((i + 1) * 8.0).alias("x0"), ((i + 1) * 8.0 + 7.0).alias("x1")))
     clean = glyphs.line_text(glyphs.stripped(glyphs.without_fillers(glyphs.by_ink(glyphs.restored(F.col("g"))))))
     return blocks(spark, sf).select("doc_id", "block_index", g.alias("g")).select("doc_id", "block_index", clean.alias("line"))
 
