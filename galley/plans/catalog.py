@@ -383,7 +383,7 @@ def review_chain(spark, sf):
 def doc_diff(spark, sf):
     """Each document against the next, both long ones with what they share."""
     d = table(spark, sf, "documents")
-    pairs = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("original_id"), (F.col("doc_id") + 1).alias("formatted_id"))
+    pairs = d.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("original_id"), (F.col("doc_id") + 1).alias("formatted_id"))
     b = blocks(spark, sf)
     return compare.diffs(pairs, b, b, ENDS)
 

@@ -1,5 +1,6 @@
 """Queries without SQL against brute force on small tables."""
 
+from galley.operators import compare
 from galley.plans import catalog
 
 
@@ -16,3 +17,15 @@ def test_glyph_lines_of_whole_blocks(spark, tmp_path):
     blocks = {r["doc_id"]: r["text"] for r in catalog.blocks(spark, sf).collect()}
     assert min(len(blocks[1]), len(blocks[3])) > 400
     assert got == {d: t.replace("a\x01b", "a b").strip() for d, t in blocks.items()}
+
+
+def test_doc_diff_pairs_every_document(spark, tmp_path):
+    """Against the edit script of each document and the next; 4 has no next, 6 no even neighbour."""
+    texts = {1: "One. Two.", 2: "One. Three.", 3: "One. Three. Four.", 4: "Five.", 6: "Six.", 7: "Six. Seven."}
+    sf = folder(spark, tmp_path, texts)
+    want = []
+    for d in texts:
+        old, new = ([x + "." for x in texts.get(i, "").replace(" ", "").split(".") if x] for i in (d, d + 1))
+        want += [(d, n, len(a), len(b)) for n, (_, a, b, _, _) in enumerate(compare.script(old, new))]
+    got = [(r["pair_id"], r["seq"], len(r["original_text"]), len(r["formatted_text"])) for r in catalog.QUERIES["doc_diff"](spark, sf).collect()]
+    assert sorted(got) == sorted(want) and {1, 3} <= {r[0] for r in got}
