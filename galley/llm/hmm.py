@@ -82,7 +82,7 @@ class Lexicon:
             self.least = at
         head = vocab.filter(scale >= self.least).collect()
         rows = sorted(((r["c"], bytes(r["word"])) for r in head if r["word"] != END), key=lambda x: (-x[0], x[1]))
-        self.end_count = next((r["c"] for r in head if r["word"] == END), 0)
+        self.end_count = int(vocab.filter(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
         rows = [(self.end_count, END), *rows]
         self.index = {w: i for i, (_, w) in enumerate(rows)}
         counts = np.array([c for c, _ in rows], np.float64)

@@ -40,6 +40,15 @@ def test_expected_counts_sum_to_tokens():
         assert abs(v[2 * k : 2 * k + k * k].sum() - 4) < 1e-3 and abs(v[2 * k + k * k :].sum() - 6) < 1e-3
 
 
+def test_end_is_counted_outside_the_head(spark, monkeypatch):
+    """More words than the head holds are as frequent as the end."""
+    monkeypatch.setattr(hmm, "HEAD", 4)
+    d = spark.createDataFrame([(" ".join(f"w{i}" for i in range(50)),)], "text string")
+    lexicon = hmm.Lexicon(written(hmm.counted(d), "vocab"))
+    assert lexicon.end_count == 1 and lexicon.known[lexicon.index[hmm.END]] and len(lexicon.index) == 1
+    assert lexicon.encode("w1")[3] == 1
+
+
 def test_index_over_batches(spark):
     first = written(spark.createDataFrame([(1, "a b"), (2, "ab  "), (3, "c")], "doc_id long, text string"), "t")
     second = written(spark.createDataFrame([(4, "c"), (5, "d"), (6, "d"), (7, None), (8, " ")], "doc_id long, text string"), "t")
