@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is missing (tests on one machine) a temporary folder is made.
+    Where the setting is missing, a master on this machine alone (tests) gets a temporary folder; any other fails, as
+    its executors could not see it.
     """
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="galley-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
@@ -36,6 +40,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables from `written` that nothing will read again."""
+    for df in tables:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have: name, or name with underscores after it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a written table with a column of unique row numbers, and that column's name. The numbers are stored, so
+    every later action sees the same ones, however many executors plan it."""
+    name = spare(docs, "row_id")
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

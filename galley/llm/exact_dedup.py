@@ -6,8 +6,11 @@ the index by a sort-merge anti-join, and what is new is appended. Only DataFrame
 Defined results: a null text counts as empty; texts are equal when they agree after deleting ASCII
 white space; of equal texts the longest original stays, then the smallest doc_id (null last), then the
 first row. Rows that repeat doc_id and text are copies like any others: one row stays. An empty table
-gives an empty result. Columns besides doc_id and text are carried through by `drop_copies` and ignored
-elsewhere.
+gives an empty result. Texts of any length are read whole. Columns besides doc_id and text are carried through
+by `drop_copies`, whatever their names, and ignored elsewhere.
+
+Rows are numbered in a written table, and every step reads those numbers there, so nothing depends on how an
+action deals a scan out.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, documents, new_path, shuffle_parts, written
+from .common import ASCII_SPACE, discard, documents, new_path, numbered, shuffle_parts, written
 
 #: A digest with at least this share of a batch is hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
@@ -31,10 +34,11 @@ def normalised(text: str | Column) -> Column:
     return col
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, n_chars, digest of each row. row_id numbers the rows of a scan, so docs must be a table."""
+def digests(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """row_id, doc_id, n_chars, digest of each row. Without row, a number of each row, rows are numbered here: write
+    the result before use."""
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row_id"),
         "doc_id",
         F.length(F.coalesce("text", F.lit(""))).alias("n_chars"),
         F.unhex(F.sha2(normalised("text"), 256)).alias("digest"),
@@ -61,6 +65,11 @@ class DigestIndex:
     def unseen(self, groups: DataFrame) -> DataFrame:
         return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.table}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def append(self, groups: DataFrame) -> None:
         """Add the digests that the index lacks."""
         new = self.unseen(groups).select("digest", "keep_id", "keep_row", "group_size")
@@ -73,14 +82,16 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), "group_size")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row per row of docs: row_id, doc_id, keep_id, group_size, kept, digest.
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, row: Column | None = None) -> DataFrame:
+    """One row per row of docs: row_id (row, where it is given), doc_id, keep_id, group_size, kept, digest.
 
     With an index that already holds a text, every new copy of it is dropped and points to the older
-    document; group_size then counts the copies in the batch that brought the text.
+    document; group_size then counts the copies in the batch that brought the text. Without an index, one is
+    made for this batch and dropped again.
     """
-    index = index or DigestIndex(docs.sparkSession)
-    rows = written(digests(docs), "digests")
+    own = DigestIndex(docs.sparkSession) if index is None else None
+    index = index or own
+    rows = written(digests(docs, row), "digests")
     groups = written(groups_of(rows), "groups")
     fresh = written(index.unseen(groups).select("digest", F.lit(True).alias("fresh")), "fresh")
     index.append(groups)
@@ -93,13 +104,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     cold = rows.join(F.broadcast(hot), "digest", "left_anti").join(cold_found.hint("merge"), "digest")
     out = rows.join(F.broadcast(hot_found), "digest").unionByName(cold)
     kept = F.coalesce(F.col("fresh"), F.lit(False)) & (F.col("row_id") == F.col("keep_row"))
-    return out.select("row_id", "doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
+    out = written(out.select("row_id", "doc_id", "keep_id", "group_size", kept.alias("kept"), "digest"), "judged")
+    discard(rows, groups, fresh)
+    if own:
+        own.drop()
+    return out
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """docs without later copies of a text, all columns as they are."""
-    kept = exact_dedup(docs, index).filter("kept").select(F.col("row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    rows, row = numbered(docs)
+    kept = exact_dedup(rows, index, F.col(row)).filter("kept").select(F.col("row_id").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,19 +6,23 @@ and a class emits its words by smoothed counts, so the model is a distribution o
     P(text) = P_hmm(classes) * product of P(word | class).
 
 Counting: tasks count words and Spark adds the counts up. Training: Baum-Welch; each task adds up the
-expected transitions and emissions of its rows (forward-backward over passages of PASSAGE tokens, all of
-every training text), Spark adds up the tasks' numbers, and the new model goes to the next round. Scoring:
-the scaled forward recursion over whole texts, in lockstep for many texts.
+expected transitions and emissions of its rows (forward-backward over whole training texts), Spark adds up the
+tasks' numbers, and the new model goes to the next round. Of a long text the backward pass holds SEGMENT steps
+at a time and computes their forward values again from the segment's start. Scoring: the scaled forward recursion over
+whole texts, in lockstep for many texts.
 
-The counts of the at most HEAD most frequent words go to every task; other words, which grow with the
-corpus, meet their counts in a join. Only starting values come from a sample, of SEEDS texts.
+The counts of the at most HEAD most frequent words of at most HEAD_BYTES bytes go to every task; other words, which grow
+with the corpus, meet their counts in a join. Only starting values come from a sample: the SEEDS different texts whose
+hashes are least, so they do not depend on how the table is laid out.
 
 Defined results: null and empty texts are one end token; without training texts the base gives every token
-probability 1 and the score is that of a uniform model; rows repeat as they come.
+probability 1 and the score is that of a uniform model; texts of any length are learned from and scored whole; rows
+repeat as they come; an empty table gives an empty result; columns other than doc_id, text and held_out are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -31,12 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, documents, written
 
-STATES, TOP, SUFFIXES, ROUNDS, PASSAGE = 8, 1024, 1024, 5, 512
+STATES, TOP, SUFFIXES, ROUNDS = 8, 1024, 1024, 6
 CLASSES = 1 + TOP + SUFFIXES
-HEAD, FLUSH, SEEDS = 1 << 17, 300_000, 256
+HEAD, HEAD_BYTES, FLUSH, SEEDS = 1 << 17, 64, 300_000, 256
 PSEUDO, PRIOR = 0.1, 50.0
 #: Cells of a padded block of texts in the recursions.
 CELLS = 1 << 20
+#: Time steps whose forward values the backward pass holds at once.
+SEGMENT = 2048
 END = b""
 
 
@@ -67,20 +73,22 @@ def counted(train: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """Counts of frequent words, classes, and what a class's words are divided by. Its size is bounded by HEAD."""
+    """Counts of frequent words, classes, and what a class's words are divided by. Its size is bounded by HEAD words of
+    HEAD_BYTES bytes."""
 
     def __init__(self, vocab: DataFrame):
         scale = F.floor(F.log2("c") * 8).cast("int")
         n = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.tokens, self.types = int(n[0]), int(n[1])
-        sizes = sorted(((r[0], r[1]) for r in vocab.groupBy(scale).count().collect()), reverse=True)
+        short = vocab.filter(F.length("word") <= HEAD_BYTES)
+        sizes = sorted(((r[0], r[1]) for r in short.groupBy(scale).count().collect()), reverse=True)
         self.least, seen = 1 << 20, 0
         for at, many in sizes:
             seen += many
             if seen > HEAD:
                 break
             self.least = at
-        head = vocab.filter(scale >= self.least).collect()
+        head = short.filter(scale >= self.least).collect()
         rows = sorted(((r["c"], bytes(r["word"])) for r in head if r["word"] != END), key=lambda x: (-x[0], x[1]))
         self.end_count = int(vocab.filter(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
         rows = [(self.end_count, END), *rows]
@@ -159,15 +167,18 @@ def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 class Hmm:
-    """start (of texts), middle (of passages within a text), move (states x states), emit (states x classes)."""
+    """start, move (states x states), emit (states x classes)."""
 
-    def __init__(self, start, middle, move, emit):
-        self.start, self.middle, self.move, self.emit = (np.asarray(x, np.float32) for x in (start, middle, move, emit))
+    #: Of a flat array of expected counts: where start, move, emit and the log10 likelihood begin.
+    PARTS = np.cumsum([0, STATES, STATES**2, STATES * CLASSES])
+
+    def __init__(self, start, move, emit):
+        self.start, self.move, self.emit = (np.asarray(x, np.float32) for x in (start, move, emit))
 
     @staticmethod
-    def from_seeds(texts: list[np.ndarray], prior: np.ndarray) -> Hmm:
-        """Starting values: spherical k-means over the texts' classes, with the farthest texts as first centres."""
-        share = np.stack([np.bincount(z, minlength=CLASSES) for z in texts] or [prior]).astype(np.float64)
+    def from_seeds(shares: list[np.ndarray], prior: np.ndarray) -> Hmm:
+        """Starting values from texts' counts by class: spherical k-means, with the farthest texts as first centres."""
+        share = np.stack(shares or [prior]).astype(np.float64)
         x = np.sqrt(share / share.sum(axis=1, keepdims=True))
         centres = [x[int(np.argmax(share.sum(axis=1)))]]
         while len(centres) < STATES:
@@ -178,54 +189,65 @@ class Hmm:
             c = np.stack([x[near == k].sum(axis=0) if (near == k).any() else c[k] for k in range(STATES)])
             c /= np.linalg.norm(c, axis=1, keepdims=True)
         emit = np.stack([share[near == k].sum(axis=0) + PRIOR * prior * (1 + k / STATES) for k in range(STATES)])
-        even = np.full(STATES, 1 / STATES)
-        return Hmm(even, even, 0.9 * np.eye(STATES) + 0.1 / STATES, emit / emit.sum(axis=1, keepdims=True))
+        return Hmm(np.full(STATES, 1 / STATES), 0.9 * np.eye(STATES) + 0.1 / STATES, emit / emit.sum(axis=1, keepdims=True))
 
     @staticmethod
     def from_counts(v: np.ndarray, prior: np.ndarray) -> Hmm:
-        k, at = STATES, np.cumsum([0, STATES, STATES, STATES**2, STATES * CLASSES])
-        parts = [v[a:b] for a, b in zip(at, at[1:], strict=False)]
-        start, middle = (p + 0.1 for p in parts[:2])
-        move, emit = parts[2].reshape(k, k) + 0.1, parts[3].reshape(k, CLASSES) + PRIOR * prior
-        return Hmm(start / start.sum(), middle / middle.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
-
-    def forward(self, block: np.ndarray, lengths: np.ndarray, first: np.ndarray, keep: bool = False):
-        """log10 likelihoods of the columns of block (time x texts, longest first), and the scaled alphas if kept."""
-        by_class, n = np.ascontiguousarray(self.emit.T), len(lengths)
-        active = np.searchsorted(-lengths, -np.arange(len(block)), "left")
-        logs, alphas, scales = np.zeros(n), [], []
-        for t in range(len(block)):
+        start, move, emit = (v[a:b] for a, b in zip(Hmm.PARTS, Hmm.PARTS[1:], strict=False))
+        start, move = start + 0.1, move.reshape(STATES, STATES) + 0.1
+        emit = emit.reshape(STATES, CLASSES) + PRIOR * prior
+        return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+
+    def steps(self, block: np.ndarray, active: np.ndarray, begin: int, end: int, alpha: np.ndarray | None):
+        """The scaled alphas of the time steps from begin to end, and what they were divided by; alpha: of the step before."""
+        by_class = np.ascontiguousarray(self.emit.T)
+        for t in range(begin, end):
             m = active[t]
-            alpha = (first if t == 0 else alpha[:m] @ self.move) * by_class[block[t, :m]]
+            alpha = (self.start if t == 0 else alpha[:m] @ self.move) * by_class[block[t, :m]]
             s = alpha.sum(axis=1)
             alpha /= s[:, None]
-            logs[:m] += np.log10(s)
-            if keep:
-                alphas.append(alpha)
-                scales.append(s)
-        return (logs, alphas, scales, active) if keep else logs
-
-    def expected(self, block: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Expected counts over the columns of block, flat, as `from_counts` takes them; begins: which columns begin a text."""
-        first = np.where(begins[:, None], self.start, self.middle)
-        _, alphas, scales, active = self.forward(block, lengths, first, keep=True)
+            yield alpha, s
+
+    def forward(self, block: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 likelihoods of the columns of block (time x texts, longest first)."""
+        active = np.searchsorted(-lengths, -np.arange(len(block)), "left")
+        logs = np.zeros(len(lengths))
+        for _, s in self.steps(block, active, 0, len(block), None):
+            logs[: len(s)] += np.log10(s)
+        return logs
+
+    def expected(self, block: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Expected counts over the columns of block, and their log10 likelihood, flat as in PARTS."""
+        active = np.searchsorted(-lengths, -np.arange(len(block)), "left")
         by_class = np.ascontiguousarray(self.emit.T)
-        move, beta = np.zeros((STATES, STATES)), np.ones((active[-1], STATES), np.float32)
-        gammas = [None] * len(block)
-        gammas[-1] = alphas[-1] * beta
-        for t in range(len(block) - 2, -1, -1):
-            m, more = active[t + 1], active[t] - active[t + 1]
-            ahead = by_class[block[t + 1, :m]] * beta / scales[t + 1][:, None]
-            move += alphas[t][:m].T @ ahead
-            beta = ahead @ self.move.T
-            if more:
-                beta = np.concatenate([beta, np.ones((more, STATES), np.float32)])
-            gammas[t] = alphas[t] * beta
-        z = np.concatenate([block[t, : active[t]] for t in range(len(block))])
-        gamma = np.concatenate(gammas)
-        emit = np.stack([np.bincount(z, gamma[:, k], CLASSES) for k in range(STATES)])
-        begin = gammas[0]
-        return np.concatenate([begin[begins].sum(axis=0), begin[~begins].sum(axis=0), (move * self.move).ravel(), emit.ravel()])
+        begins, before = range(0, len(block), SEGMENT), [None]
+        for a, b in itertools.pairwise(begins):  # the alphas at the ends of segments
+            for alpha, _ in self.steps(block, active, a, b, before[-1]):
+                pass
+            before.append(alpha)
+        move, emit, log = np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES)), 0.0
+        beta, scale = None, None  # of the time step after
+        for a, alpha in zip(reversed(begins), reversed(before), strict=True):
+            b = min(a + SEGMENT, len(block))
+            alphas, scales = zip(*self.steps(block, active, a, b, alpha), strict=True)
+            log += sum(float(np.log10(s).sum()) for s in scales)
+            gammas = []
+            for t in range(b - 1, a - 1, -1):
+                if beta is None:
+                    beta = np.ones((active[t], STATES), np.float32)
+                else:
+                    m, more = active[t + 1], active[t] - active[t + 1]
+                    ahead = by_class[block[t + 1, :m]] * beta / scale[:, None]
+                    move += alphas[t - a][:m].T @ ahead
+                    beta = ahead @ self.move.T
+                    if more:
+                        beta = np.concatenate([beta, np.ones((more, STATES), np.float32)])
+                scale = scales[t - a]
+                gammas.append(alphas[t - a] * beta)
+            z = np.concatenate([block[t, : active[t]] for t in range(b - 1, a - 1, -1)])
+            gamma = np.concatenate(gammas)
+            emit += np.stack([np.bincount(z, gamma[:, k], CLASSES) for k in range(STATES)])
+        return np.concatenate([gammas[-1].sum(axis=0), (move * self.move).ravel(), emit.ravel(), [log]])
 
 
 def blocks(seqs: list[np.ndarray]):
@@ -246,36 +268,44 @@ def classes_in(batch, column: str = "z") -> list[np.ndarray]:
     return [np.frombuffer(z.as_py(), np.int16) for z in batch.column(column)]
 
 
-def baum_welch(rows: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
-    """One round over the training rows (z)."""
+def baum_welch(rows: DataFrame, model: Hmm, prior: np.ndarray) -> tuple[Hmm, float]:
+    """One round over the training rows (z): the next model, and the log10 likelihood under this one."""
     seen = rows.sparkSession.sparkContext.broadcast(model)
+    size = int(Hmm.PARTS[-1]) + 1
 
     def run(batches):
-        total = np.zeros(2 * STATES + STATES**2 + STATES * CLASSES)
+        total = np.zeros(size)
         for b in batches:
-            cut, begins = [], []
-            for z in classes_in(b):
-                parts = [z[s : s + PASSAGE] for s in range(0, len(z), PASSAGE)]
-                cut += parts
-                begins += [k == 0 for k in range(len(parts))]
-            begins = np.array(begins, bool)
-            for group, block, lengths in blocks(cut):
-                total += seen.value.expected(block, lengths, begins[group])
+            for _, block, lengths in blocks(classes_in(b)):
+                total += seen.value.expected(block, lengths)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["i", "v"])
 
     got = rows.select("z").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    v = np.zeros(2 * STATES + STATES**2 + STATES * CLASSES)
+    v = np.zeros(size)
     v[[r["i"] for r in got]] = [r["v"] for r in got]
-    return Hmm.from_counts(v, prior)
+    return Hmm.from_counts(v, prior), float(v[-1])
+
+
+def seeds(train: DataFrame) -> list[np.ndarray]:
+    """Counts by class of the SEEDS different texts whose hashes are least; copies count once."""
+    hashed = train.select(F.xxhash64("z").alias("h"), "z")
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(SEEDS).collect()]
+
+    def run(batches):
+        for b in batches:
+            rows = [np.bincount(z, minlength=CLASSES) for z in classes_in(b)]
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(rows, pa.list_(pa.int64()))], ["h", "share"])
+
+    chosen = hashed.filter(F.col("h").isin(least)).groupBy("h").agg(F.min("z").alias("z"))
+    return [np.array(r["share"]) for r in sorted(chosen.mapInArrow(run, "h long, share array<long>").collect(), key=lambda r: r["h"])]
 
 
 def trained(rows: DataFrame, lexicon: Lexicon) -> Hmm:
     train = rows.filter("NOT held_out")
-    seeds = train.select("z", F.xxhash64("uid").alias("h"), "uid").orderBy("h", "uid").limit(SEEDS).collect()
-    model = Hmm.from_seeds([np.frombuffer(r["z"], np.int16) for r in seeds], lexicon.prior)
+    model = Hmm.from_seeds(seeds(train), lexicon.prior)
     for _ in range(ROUNDS):
-        model = baum_welch(train, model, lexicon.prior)
+        model, _ = baum_welch(train, model, lexicon.prior)
     return model
 
 
@@ -288,7 +318,7 @@ def likelihoods(rows: DataFrame, model: Hmm) -> DataFrame:
         for b in batches:
             out = np.zeros(len(b))
             for group, block, lengths in blocks(classes_in(b)):
-                out[group] = seen.value.forward(block, lengths, np.broadcast_to(seen.value.start, (len(group), STATES)))
+                out[group] = seen.value.forward(block, lengths)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(out)], [*keep, "hmm"])
 
     return rows.select(*keep, "z").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, base_sum double, inner_sum double, known long, hmm double")
@@ -301,7 +331,7 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = written(encoded(docs, lexicon), "encoded")
     model = trained(rows, lexicon)
     rare = rows.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("uid", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))
-    counts = vocab.filter(F.floor(F.log2("c") * 8) < lexicon.least)
+    counts = vocab.filter((F.floor(F.log2("c") * 8) < lexicon.least) | (F.length("word") > HEAD_BYTES))
     met = rare.join(counts.hint("merge"), "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(PSEUDO))
     sums = met.groupBy("uid").agg(F.sum(F.col("n") * log).alias("rare_sum"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"))

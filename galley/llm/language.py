@@ -8,7 +8,9 @@ Bundling is linear, so each partition returns one vector a language and Spark ad
 is partitions x languages x DIMENSIONS numbers, whatever the length of the texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0; equal cosines go to the
-lesser name; without a labelled text to learn from every text is `und`; rows repeat as they come.
+lesser name; without a labelled text to learn from every text is `und`, and `drop_unknown` drops it; texts of any
+length are read whole; rows repeat as they come; an empty table gives an empty result; `with_language` returns the
+columns that it is asked for, `drop_unknown` all, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, spare
 
 DIMENSIONS = 1024
 SEED = 20240501
@@ -30,9 +32,9 @@ UNKNOWN = "und"
 KEPT = 1 << 15
 #: Letters whose n-grams are counted at once.
 CHUNK = 1 << 20
-#: A document is rejected when its cosine is below this, that is when it resembles no language at all; even
-#: texts of one word are above it.
-LEAST_SCORE = 1e-6
+#: Of the cosine that a text with as many different n-grams would have if it were drawn from the language, a text
+#: must have this share, less NOISE: so many standard deviations of a chance cosine.
+LEAST_SHARE, NOISE = 0.25, 3.0
 
 _letters: dict[int, np.ndarray] = {}
 _is_letter: np.ndarray | None = None
@@ -105,20 +107,24 @@ def bundle(g: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Profiles:
-    """Language prototypes: names and unit vectors."""
+    """Language prototypes: names and unit vectors, and, if the numbers of n-grams in the bundles are given, peaks: the
+    chance that two n-grams of the language are the same."""
 
-    def __init__(self, names: list[str], vectors: np.ndarray):
+    def __init__(self, names: list[str], vectors: np.ndarray, grams: np.ndarray | None = None):
         order = sorted(range(len(names)), key=names.__getitem__)
         self.names, v = [names[i] for i in order], np.asarray(vectors, np.float64).reshape(len(names), DIMENSIONS)[order]
-        self.unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        size = np.maximum(np.linalg.norm(v, axis=1), 1e-12)
+        self.unit = v / size[:, None]
+        self.peaks = size**2 / DIMENSIONS / np.maximum(np.asarray(grams, np.float64)[order], 1) ** 2 if grams is not None else np.zeros(len(names))
 
     @staticmethod
     def learn(docs: DataFrame) -> Profiles:
-        """From every row of docs with text and lang. The prototypes (languages x DIMENSIONS numbers) go to the driver."""
+        """From every row of docs with text and lang. The prototypes (languages x (DIMENSIONS + 1) numbers) go to the driver."""
 
         def flush(counts: dict, sums: dict) -> None:
             for lang, c in counts.items():
-                got = bundle(np.fromiter(c.keys(), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c)))
+                n = np.fromiter(c.values(), np.int64, len(c))
+                got = np.append(bundle(np.fromiter(c.keys(), np.int64, len(c)), n), n.sum())
                 sums[lang] = sums.get(lang, 0) + got
             counts.clear()
 
@@ -145,16 +151,32 @@ class Profiles:
         learned = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").mapInPandas(run, "lang string, v array<long>")
         added = learned.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
         rows = added.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", "v.x").collect()
-        return Profiles([r["lang"] for r in rows], np.array([r["x"] for r in rows], np.float64))
+        got = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), DIMENSIONS + 1)
+        return Profiles([r["lang"] for r in rows], got[:, :-1], got[:, -1])
+
+    def nearest(self, g: np.ndarray, n: np.ndarray) -> tuple[int, float]:
+        """The place of the language of n-grams g with counts n, and the cosine."""
+        v = bundle(g, n)
+        cos = self.unit @ v / max(float(np.linalg.norm(v)), 1e-12)
+        best = int(np.argmax(cos))
+        return best, float(cos[best])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         g, n = grams(text)
         if not len(g) or not self.names:
             return UNKNOWN, 0.0
-        v = bundle(g, n)
-        cos = self.unit @ v / max(float(np.linalg.norm(v)), 1e-12)
-        best = int(np.argmax(cos))
-        return self.names[best], float(min(1.0, max(0.0, cos[best])))
+        best, cos = self.nearest(g, n)
+        return self.names[best], min(1.0, max(0.0, cos))
+
+    def known(self, text: str | None) -> bool:
+        """Whether the text is like some language. k n-grams drawn from a language with peak s have a cosine of about
+        sqrt(ks / (1 + ks)) with it, n-grams of no language 0 but for chance; few n-grams prove nothing."""
+        g, n = grams(text)
+        if not len(g) or not self.names:
+            return False
+        best, cos = self.nearest(g, n)
+        k = float(n.sum()) ** 2 / float((n * n).sum()) * self.peaks[best]
+        return cos >= LEAST_SHARE * float(np.sqrt(k / (1 + k))) - NOISE / DIMENSIONS**0.5
 
 
 def with_language(docs: DataFrame, profiles: Profiles, extra: list[str]) -> DataFrame:
@@ -162,26 +184,27 @@ def with_language(docs: DataFrame, profiles: Profiles, extra: list[str]) -> Data
     seen = docs.sparkSession.sparkContext.broadcast(profiles)
     schema = docs.select(*extra).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    text = spare(docs.select(*extra), "text")
 
     def run(batches):
         model = seen.value
         for b in batches:
-            got = [model.predict(t.as_py()) for t in b.column("__text")]
+            got = [model.predict(t.as_py()) for t in b.column(text)]
             cols = [b.column(i) for i in range(len(extra))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*extra, "lang_pred", "score"])
 
-    return docs.select(*extra, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*extra, F.col("text").alias(text)).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
-    """docs whose text has a language: not `und`, and a cosine of LEAST_SCORE or more. Columns stay as they are."""
+    """docs whose text has a letter and is like one of the languages of docs (see `Profiles.known`). Columns stay as
+    they are."""
     profiles = Profiles.learn(docs)
     seen = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        got = [seen.value.predict(t) for t in texts]
-        return pd.Series([name != UNKNOWN and score >= LEAST_SCORE for name, score in got], dtype=bool)
+        return pd.Series([seen.value.known(t) for t in texts], dtype=bool)
 
     return docs.filter(known("text"))
 

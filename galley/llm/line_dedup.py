@@ -11,7 +11,9 @@ and once when dropped lines meet their documents. Leaves and templates are count
 aggregation; joins have written tables on both sides, so Spark can split a template that many lines share.
 
 Defined results: null texts stay null and have no lines; blank lines stay; equal lines of one document count
-once; repeated rows are documents of their own; an empty table gives an empty result; other columns stay.
+once; repeated rows are documents of their own; an empty table gives an empty result; texts and lines of any
+length are read whole; other columns stay, but n_lines and n_dropped are replaced. Rows are numbered in a written
+table that all steps read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, numbered, spare, written
 
 LEADING, CHILDREN, FIXED, LEAST_DOCS = 3, 8, 0.6, 3
 #: Up to so many leaves (16 bytes each) with variable positions are broadcast to find their lines, else joined.
@@ -46,13 +48,14 @@ def masked(even: Column) -> Column:
 
 
 def digest(c: Column) -> Column:
-    return F.unhex(F.md5(c.cast("binary")))
+    """Never null: else the joins on it would filter by it first, and all that it is made from would be made twice."""
+    return F.coalesce(F.unhex(F.md5(c.cast("binary"))), F.lit(b""))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """row_id, at (the line's place), masked, leaf, whole of each line with a token."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), "text")
-    each = numbered.select("row_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+def lines(docs: DataFrame, row: str) -> DataFrame:
+    """row_id, at (the line's place), masked, leaf, whole of each line with a token. row: the column with row numbers."""
+    numbers = docs.select(F.col(row).alias("row_id"), "text")
+    each = numbers.select("row_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     even = each.filter(F.col("line").rlike(TOKEN)).select("row_id", "at", evened(F.col("line")).alias("even"))
     rows = even.select("row_id", "at", masked(F.col("even")).alias("masked"))
     spaces = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit("")))
@@ -60,12 +63,12 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("row_id", "at", "masked", digest(F.concat_ws(" ", spaces, head)).alias("leaf"), digest(F.col("masked")).alias("whole"))
 
 
-def branches(docs: DataFrame, thin: DataFrame) -> DataFrame:
+def branches(docs: DataFrame, row: str, thin: DataFrame) -> DataFrame:
     """leaf, whole, template for the different lines of leaves with variable positions."""
     wide = thin.groupBy("leaf", "whole").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > CHILDREN)
     wide = written(wide.select("leaf"), "wide")
     few = wide.count() <= FEW_LEAVES
-    found = lines(docs).join(F.broadcast(wide) if few else wide.hint("merge"), "leaf", "left_semi").groupBy("leaf", "whole").agg(F.min("masked").alias("masked"))
+    found = lines(docs, row).join(F.broadcast(wide) if few else wide.hint("merge"), "leaf", "left_semi").groupBy("leaf", "whole").agg(F.min("masked").alias("masked"))
     rows = written(found, "branches")
     tokens = rows.select("leaf", F.posexplode(F.split("masked", " ")).alias("i", "token"))
     kinds = tokens.groupBy("leaf", "i", "token").agg(F.count("*").alias("n")).groupBy("leaf", "i").agg(F.count("*").alias("n"))
@@ -79,10 +82,10 @@ def branches(docs: DataFrame, thin: DataFrame) -> DataFrame:
     return with_bounds.filter(fixed >= FIXED * F.size("t")).select("leaf", "whole", digest(F.concat_ws(" ", F.hex("leaf"), template)).alias("template"))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, row: str) -> DataFrame:
     """row_id, n_lines, dropped (places of the lines to drop, ascending) of rows with a line."""
-    thin = written(lines(docs).drop("masked"), "lines")
-    own = written(branches(docs, thin), "templates")
+    thin = written(lines(docs, row).drop("masked"), "lines")
+    own = written(branches(docs, row, thin), "templates")
     named = thin.join(own, ["leaf", "whole"], "left").select("row_id", "at", F.coalesce("template", "whole").alias("template"))
     named = written(named, "named")
     by_doc = named.groupBy("template", "row_id").agg(F.count("*").alias("n"))
@@ -100,12 +103,14 @@ def without(text: Column, dropped: Column) -> Column:
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """docs with recurring lines taken out of text, and n_lines and n_dropped. docs must be a table."""
-    found = dropped_lines(docs).withColumnsRenamed({"row_id": "__row", "dropped": "__dropped"})
-    out = docs.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left")
-    none = F.coalesce("__dropped", F.array().cast("array<int>"))
+    """docs with recurring lines taken out of text, and n_lines and n_dropped, which replace columns of these names."""
+    rows, row = numbered(docs)
+    dropped, n = spare(rows, "dropped"), spare(rows, "lines")
+    found = dropped_lines(rows, row).withColumnsRenamed({"row_id": row, "dropped": dropped, "n_lines": n})
+    out = rows.join(found, row, "left")
+    none = F.coalesce(dropped, F.array().cast("array<int>"))
     text = F.when(F.col("text").isNotNull(), without(F.col("text"), none))
-    return out.withColumns({"text": text, "n_lines": F.coalesce("n_lines", F.lit(0)), "n_dropped": F.size(none).cast("long")}).drop("__row", "__dropped")
+    return out.withColumns({"text": text, "n_lines": F.coalesce(n, F.lit(0)), "n_dropped": F.size(none).cast("long")}).drop(row, dropped, n)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Best-fit packing by minimum bin slack.
 
-Documents become token ids; each is one piece, or pieces of CAPACITY tokens if it is longer. Only the
-number of pieces of each length matters for packing: a histogram of at most CAPACITY numbers, whatever
+Documents become token ids; each is one piece, or pieces of CAPACITY tokens, the first with what is left over, if it
+is longer. Only the number of pieces of each length matters for packing: a histogram of at most CAPACITY numbers, whatever
 the corpus. For each bin the longest piece left is laid down and a subset-sum dynamic program over the
 lengths left, held as one bitset, finds the fullest feasible combination for the rest. The combination is
 removed as often as the histogram allows, so the number of programs depends on the number of lengths, not
@@ -12,7 +12,8 @@ them, the counts by task and length are summed up, and the number of a piece amo
 leads to its bin. The result of tokenising is written before that, so numbers stay when tasks are lost.
 
 Defined results: null counts as empty: one piece of the end id alone. Repeated rows are documents of their
-own. An empty table gives an empty result. Other columns are ignored.
+own; pieces of equal length may take each other's places from run to run, never their own cuts. Texts of any length
+are read whole. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,8 +97,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 data = memoryview(model.encode(text) + END_ID.to_bytes(4, "little"))
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    ids = data[at : at + 4 * capacity]
+                first = (len(data) // 4 - 1) % capacity + 1
+                for k, end in enumerate(range(4 * first, len(data) + 1, 4 * capacity)):
+                    at = 4 * first + 4 * capacity * (k - 1) if k else 0
+                    ids = data[at:end]
                     n = len(ids) // 4
                     rows.append((doc_id, k, at // 4, n, zlib.crc32(ids), part, counts[n], *([bytes(ids)] if with_ids else [])))
                     counts[n] += 1

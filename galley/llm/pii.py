@@ -7,7 +7,9 @@ matches stays cheap. Possessive quantifiers and look-behinds keep every pattern
 Kinds `email ip card phone` are the base: what passes its check stays whatever its score. The others
 need a score of ACCEPT. Spans of different kinds may overlap; `masked` joins overlapping spans.
 
-Defined results: null and empty texts have no spans; rows repeat as they come; other columns pass through.
+Defined results: null and empty texts have no spans; texts of any length are searched whole; rows repeat as they
+come; an empty table gives an empty result; other columns pass through, and `with_spans` replaces one of its
+column's name.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, spare
 
 ACCEPT = 0.5
 #: Code points before and after a span in which context words count.
@@ -157,7 +159,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced; a null text stays null."""
-    return with_spans(docs, "__spans").withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("__spans")))).drop("__spans")
+    spans = spare(docs, "spans")
+    return with_spans(docs, spans).withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col(spans)))).drop(spans)
 
 
 def listed(spans: Column) -> Column:

@@ -11,7 +11,8 @@ one per capture by a partial aggregation.
 
 Defined results: a null or unreadable URL has the empty host and no match; a null day matches nothing; of
 entries for one day a `remove` comes last; repeated captures are judged one by one; empty tables give
-empty results; other columns of captures are kept.
+empty results; a host beyond the length of a domain name has itself and its parents up to that length; other
+columns of captures are kept, those with the names of results replaced. Captures are numbered in a written table.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import numbered, spare
+
 SALTS = 16
-#: Code points in a host name at most, by the rules of the domain name system; longer ones have no parents.
+#: Code points in a domain name at most, by the rules of the domain name system. Of a longer host only the parents
+#: up to this length are domains.
 LONGEST = 253
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)"
 
@@ -32,10 +36,16 @@ def host_of(url: str | Column) -> Column:
 
 
 def parents(host: Column) -> Column:
-    """The host and its parent domains."""
-    labels = F.split(host, r"\.")
-    each = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.when(F.length(host).between(1, LONGEST), each).otherwise(F.array(host))
+    """The host and its parent domains of at most LONGEST code points."""
+
+    def suffixes(name: Column) -> Column:
+        labels = F.split(name, r"\.")
+        return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+    tail = F.substring(host, -LONGEST - 1, LONGEST + 1)  # what stands before its first dot is cut off or too long
+    after = F.substring(tail, F.instr(tail, ".") + 1, LONGEST)
+    long = F.when(F.contains(tail, F.lit(".")), F.concat(F.array(host), suffixes(after))).otherwise(F.array(host))
+    return F.when(F.length(host) <= LONGEST, suffixes(host)).otherwise(long)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -47,18 +57,20 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def judged(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetched") -> DataFrame:
-    """captures with host, decision (allow, block or none), by_list, by_domain and since of the entry that decided.
-    captures must be a table, as its rows are numbered by their place."""
-    numbered = captures.withColumn("__row", F.monotonically_increasing_id()).withColumn("host", host_of(url))
-    salt = F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int")
-    asked = numbered.select("__row", F.col(day).alias("__day"), salt.alias("__salt"), F.explode(parents(F.col("host"))).alias("domain"))
-    held = intervals(entries).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = asked.join(held, ["domain", "__salt"]).filter((F.col("since") <= F.col("__day")) & (F.col("until").isNull() | (F.col("__day") < F.col("until"))))
+    """captures with host, decision (allow, block or none), by_list, by_domain and since of the entry that decided;
+    columns of captures with these names are replaced."""
+    rows, row = numbered(captures)
+    salt = F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int")
+    asked = rows.select(F.col(row).alias("at"), F.col(day).alias("day"), salt.alias("salt"), F.explode(parents(host_of(url))).alias("domain"))
+    held = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = asked.join(held, ["domain", "salt"]).filter((F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
     order = F.struct((~F.col("allow")).alias("a"), (-F.length("domain")).alias("b"), "list", "domain", "since")
-    best = hits.groupBy("__row").agg(F.min(order).alias("__best"))
-    decision = F.when(F.col("__best").isNull(), "none").when(F.col("__best.a"), "block").otherwise("allow")
-    out = numbered.join(best, "__row", "left").withColumns({"decision": decision, "by_list": F.col("__best.list"), "by_domain": F.col("__best.domain"), "since": F.col("__best.since")})
-    return out.drop("__row", "__best")
+    best = spare(rows, "best")
+    found = hits.groupBy("at").agg(F.min(order).alias(best)).withColumnRenamed("at", row)
+    b = F.col(best)
+    decision = F.when(b.isNull(), "none").when(b.a, "block").otherwise("allow")
+    out = rows.join(found, row, "left").withColumns({"host": host_of(url), "decision": decision, "by_list": b.list, "by_domain": b.domain, "since": b.since})
+    return out.drop(row, best)
 
 
 def sample_entries(hosts: DataFrame) -> DataFrame:
@@ -92,7 +104,8 @@ WITH p AS (
   FROM pages),
 s AS (
   SELECT r, fetched, array_to_string(l[i:], '.') AS domain
-  FROM (SELECT r, fetched, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p)),
+  FROM (SELECT r, fetched, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p)
+  WHERE i = 1 OR length(array_to_string(l[i:], '.')) <= 253),
 d AS (SELECT DISTINCT domain FROM s WHERE contains(domain, '.')),
 m AS (SELECT domain, list_transform([1, 3, 5, 7, 9], lambda i: CAST('0x' || substr(md5(domain), i, 2) AS INTEGER)) AS h FROM d),
 e AS (

@@ -15,10 +15,10 @@ def test_forward_is_exact():
     """Against the sum over all state paths."""
     rng = np.random.default_rng(1)
     rows = lambda *s: (x := rng.random(s)) / x.sum(axis=-1, keepdims=True)
-    model = hmm.Hmm(rows(hmm.STATES), rows(hmm.STATES), rows(hmm.STATES, hmm.STATES), rows(hmm.STATES, hmm.CLASSES))
+    model = hmm.Hmm(rows(hmm.STATES), rows(hmm.STATES, hmm.STATES), rows(hmm.STATES, hmm.CLASSES))
     seqs = [np.array(z, np.int16) for z in ([3, 5, 0], [7], [1, 2])]
     for group, block, lengths in hmm.blocks(seqs):
-        got = model.forward(block, lengths, np.broadcast_to(model.start, (len(group), hmm.STATES)))
+        got = model.forward(block, lengths)
         for i, log in zip(group, got, strict=True):
             z, total = seqs[i], 0.0
             for path in itertools.product(range(hmm.STATES), repeat=len(z)):
@@ -29,15 +29,57 @@ def test_forward_is_exact():
             assert abs(log - np.log10(total)) < 1e-4
 
 
-def test_expected_counts_sum_to_tokens():
-    even = np.full(hmm.CLASSES, 1 / hmm.CLASSES)
-    model = hmm.Hmm.from_seeds([np.array([1, 2, 3, 0], np.int16), np.array([900, 901, 0], np.int16)], even)
-    seqs = [np.array([1, 2, 3, 0], np.int16), np.array([5, 0], np.int16)]
-    for group, block, lengths in hmm.blocks(seqs):
-        v = model.expected(block, lengths, np.array([True, False])[group])
-        k = hmm.STATES
-        assert abs(v[:k].sum() - 1) < 1e-4 and abs(v[k : 2 * k].sum() - 1) < 1e-4
-        assert abs(v[2 * k : 2 * k + k * k].sum() - 4) < 1e-3 and abs(v[2 * k + k * k :].sum() - 6) < 1e-3
+@pytest.mark.parametrize("segment", [hmm.SEGMENT, 2, 1])
+def test_expected_counts(monkeypatch, segment):
+    """Against the sum over all state paths, whatever the segments."""
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    rng = np.random.default_rng(2)
+    rows = lambda *s: (x := rng.random(s) + 0.1) / x.sum(axis=-1, keepdims=True)
+    k = hmm.STATES
+    model = hmm.Hmm(rows(k), rows(k, k), rows(k, hmm.CLASSES))
+    seqs = [np.array(z, np.int16) for z in ([3, 5, 7, 3, 0], [9, 0], [0], [4, 4, 0])]
+    got = sum(model.expected(block, lengths) for _, block, lengths in hmm.blocks(seqs))
+    want, log = np.zeros(len(got)), 0.0
+    for z in seqs:
+        mine, total = np.zeros(len(got)), 0.0
+        for path in itertools.product(range(k), repeat=len(z)):
+            p = float(model.start[path[0]] * model.emit[path[0], z[0]])
+            for t in range(1, len(z)):
+                p *= float(model.move[path[t - 1], path[t]] * model.emit[path[t], z[t]])
+            total += p
+            mine[path[0]] += p
+            for t in range(len(z)):
+                mine[k + k * k + path[t] * hmm.CLASSES + z[t]] += p
+                if t:
+                    mine[k + path[t - 1] * k + path[t]] += p
+        want, log = want + mine / total, log + np.log10(total)
+    want[-1] = log
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_training_does_not_lose_likelihood(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in (rng.zipf(1.5, 6000 if i == 0 else 80) % 300) + 300 * (i % 3)) for i in range(60)]
+    d = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    lexicon = hmm.Lexicon(written(hmm.counted(d), "vocab"))
+    rows = written(hmm.encoded(d, lexicon), "rows")
+    model, logs = hmm.Hmm.from_seeds(hmm.seeds(rows), lexicon.prior), []
+    for _ in range(5):
+        model, log = hmm.baum_welch(rows, model, lexicon.prior)
+        logs.append(log)
+    assert logs == sorted(logs) and logs[-1] > logs[0] + 100
+
+
+def test_scores_do_not_depend_on_layout(spark, tmp_path):
+    """The same rows in one file and in seven; words of any length, some beyond what the head takes."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" " + "long" * 40))).otherwise(F.col("text")).alias("text"))
+    got = []
+    for n in (1, 7):
+        d.repartition(n).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        got.append({r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in hmm.op2_hmm(spark, f"{tmp_path}/{n}").collect()})
+    assert got[0].keys() == got[1].keys() and len(got[0]) == d.count()
+    for k, a in got[0].items():
+        assert a == pytest.approx(got[1][k], rel=1e-4)
 
 
 def test_end_is_counted_outside_the_head(spark, monkeypatch):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -107,7 +108,8 @@ def test_op4(spark, docs, rows):
     for d, text, _ in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
         tokens += len(ids)
-        want += [(d, i // 2048, i, len(ids[i : i + 2048]), zlib.crc32(np.array(ids[i : i + 2048], "<u4").tobytes())) for i in range(0, len(ids), 2048)]
+        cuts = sorted({0, *range(len(ids), 0, -2048)})  # the first piece may be shorter
+        want += [(d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts))]
     got = run(spark, "op4_packing", docs)
     counted([(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got], want)
     bins = collections.defaultdict(list)
