@@ -1,18 +1,22 @@
 r"""Quality rules with robust multivariate outliers.
 
 Base rules reject short texts and texts that repeat themselves. The others get six transformed statistics,
-and each language and source gets a minimum-covariance-determinant estimate of their centre and scatter:
-from medians and absolute deviations on, STEPS times the nearest SUBSET of a group's rows by Mahalanobis
-distance gives the next estimate. A text is kept if its distance stays within the chi-squared quantile.
-
-All rows of a group take part. Statistics are integers in thousandths, so sums are exact in any order;
-medians and the distance of the SUBSET come from counts by value, at most a few thousand a group. Rows
-meet their group's estimate in a join salted SALTS ways, as a source may hold a third of all rows.
-Groups of fewer than LEAST rows are pooled by language, and what is left of those in one pool.
+and each language and source gets a minimum-covariance-determinant estimate of their centre and scatter: of the
+subsets of a share SUBSET of its rows, the one whose covariance has the least determinant. Concentration steps look for
+it from STARTS starting values (median and absolute deviations, spatial signs, winsorised values): the next estimate
+is that of the rows nearest by Mahalanobis distance under this one. After FIRST steps each group goes on from the start
+with the least determinant, until that falls no more. A text is kept if its distance stays within the
+chi-squared quantile.
+
+All rows of a group take part. Statistics are integers in thousandths, so their sums are exact in any order; medians
+and the distance of the nearest SUBSET come from counts by value, at most tens of thousands a group (a subset takes in
+whole bins of distance, of a thousandth or less each). Rows meet their group's estimate in a join salted SALTS ways, as a
+source may hold a third of all rows. A covariance of P statistics says nothing on a few rows, so groups of fewer than
+LEAST rows get the estimate of a pool: their language's small groups, and what is left of those in one pool.
 
 Defined results: null and empty texts have no words, so base_failed; a null lang or source is a group
-like any other; texts in a pool of fewer than LEAST rows are kept unless base_failed; rows repeat as they
-come; an empty table gives an empty result.
+like any other; texts in a pool of fewer than LEAST rows are kept unless base_failed; texts of any length are read
+whole; rows repeat as they come; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +36,11 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 FEATURES = ("word_length", "symbols", "dup_lines", "repeat_words", "capitals", "marks")
 P = len(FEATURES)
 #: Least scales: what differs by less than a few of these is no outlier, however alike the others are.
-FLOORS = (0.04, 0.05, 0.2, 0.2, 0.03, 0.035)
-SUBSET, STEPS, LEAST, SALTS, UNIT = 0.75, 4, 60, 16, 1000
+FLOORS = (0.04, 0.05, 0.11, 0.11, 0.03, 0.035)
+SUBSET, LEAST, SALTS, UNIT = 0.75, 60, 16, 1000
+STARTS, FIRST, STEPS = 3, 2, 30
+#: Bins of log(1 + squared distance) by unit; a fall of the log determinant that counts; where values are winsorised.
+BINS, FALL, CLIP = 1024, 1e-6, 1.5
 #: Share of good texts that may be called outliers.
 TAIL = 1e-5
 PAIRS = tuple(combinations_with_replacement(range(P), 2))
@@ -151,21 +158,49 @@ def medians(values: DataFrame) -> DataFrame:
 
 
 def start(rows: DataFrame) -> DataFrame:
-    """The first estimate: medians, and squared scales on the diagonal."""
+    """The first estimates: grp, start, mu, inv. From medians, and as scatter squared scales, the scaled scatter of spatial
+    signs, or that of winsorised values."""
     each = lambda r, x: r.select("grp", F.posexplode(x).alias("feature", "v"))
     centre = written(medians(each(rows, "x")), "centre")
     off = salted(rows, centre, ["grp"]).withColumn("off", F.zip_with("x", "med", lambda a, b: F.abs(a - b)))
     spread = medians(each(off, "off")).withColumnRenamed("med", "mad")
+    floors = F.array(*(F.lit(f * UNIT) for f in FLOORS))
+    scale = F.zip_with("mad", floors, lambda m, f: F.greatest(1.4826 * m, f))
+    table = written(centre.join(spread, "grp").select("grp", "med", scale.alias("scale")), "scales")
+    z = F.transform(F.arrays_zip("x", "med", "scale"), lambda r: (r.x - r.med) / r.scale)
+    scaled = salted(rows, table, ["grp"]).withColumn("z", z)
+    size = F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v))
+    with_both = scaled.select("grp", F.transform("z", lambda v: F.when(size > 0, v / size).otherwise(0.0)).alias("sign"), F.transform("z", lambda v: F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), v))).alias("clip"))
+    g = lambda c, i: F.get(c, F.lit(i))
+    sums = [F.array(*(F.avg(g(c, i) * g(c, j)) for i, j in PAIRS)).alias(c) for c in ("sign", "clip")]
+    shift = F.array(*(F.avg(g("clip", i)) for i in range(P))).alias("shift")
+    moments = with_both.groupBy("grp").agg(*sums, shift).join(table, "grp")
 
     def run(frames):
         for pdf in frames:
             out = []
-            for med, mad in zip(pdf["med"], pdf["mad"], strict=True):
-                scale = np.maximum(1.4826 * np.asarray(mad) / UNIT, FLOORS)
-                out.append((list(np.asarray(med) / UNIT), packed(np.diag(1 / scale**2))))
-            yield pd.DataFrame({"grp": pdf["grp"], "mu": [a for a, _ in out], "inv": [b for _, b in out]})
+            for grp, sign, clip, shift, med, scale in zip(*(pdf[c] for c in ("grp", "sign", "clip", "shift", "med", "scale")), strict=True):
+                scale, shift = np.asarray(scale) / UNIT, np.asarray(shift)
+                ways = (np.eye(P), P * full(sign), (full(clip) - np.outer(shift, shift)))
+                for k, way in enumerate(ways):
+                    mu = np.asarray(med) / UNIT + (k == 2) * shift * scale
+                    out.append((grp, k, list(mu), packed(np.linalg.inv(floored(way * np.outer(scale, scale))))))
+            yield pd.DataFrame(out, columns=["grp", "start", "mu", "inv"])
+
+    return moments.mapInPandas(run, "grp string, start int, mu array<double>, inv array<double>")
+
+
+def full(triangle) -> np.ndarray:
+    """A symmetric matrix from the values at PAIRS."""
+    out = np.zeros((P, P))
+    for v, (i, j) in zip(triangle, PAIRS, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
 
-    return centre.join(spread, "grp").mapInPandas(run, "grp string, mu array<double>, inv array<double>")
+
+def floored(cov: np.ndarray) -> np.ndarray:
+    """With no variance below the square of its least scale."""
+    return cov + np.diag(np.maximum(np.square(FLOORS) - np.diag(cov), 0))
 
 
 def packed(inverse: np.ndarray) -> list[float]:
@@ -179,44 +214,51 @@ def distance() -> Column:
 
 
 def estimated(sums: DataFrame) -> DataFrame:
-    """Estimates from n, s (sums) and ss (sums of products, by PAIRS) of each grp."""
+    """Estimates with their log determinants from n, s (sums) and ss (sums of products, by PAIRS) of each grp and start."""
 
     def run(frames):
         for pdf in frames:
-            mus, invs = [], []
+            mus, invs, dets = [], [], []
             for n, s, ss in zip(pdf["n"], pdf["s"], pdf["ss"], strict=True):
-                mu, cov = np.asarray(s, float) / n, np.zeros((P, P))
-                for v, (i, j) in zip(ss, PAIRS, strict=True):
-                    cov[i, j] = cov[j, i] = v / n - mu[i] * mu[j]
-                cov = CONSISTENT * cov / UNIT**2
-                cov += np.diag(np.maximum(np.square(FLOORS) - np.diag(cov), 0))
+                mu = np.asarray(s, float) / n
+                cov = floored(CONSISTENT * (full(ss) / n - np.outer(mu, mu)) / UNIT**2)
                 mus.append(list(mu / UNIT))
                 invs.append(packed(np.linalg.inv(cov)))
-            yield pd.DataFrame({"grp": pdf["grp"], "mu": mus, "inv": invs})
+                dets.append(float(np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame({"grp": pdf["grp"], "start": pdf["start"], "mu": mus, "inv": invs, "det": dets})
 
-    return sums.mapInPandas(run, "grp string, mu array<double>, inv array<double>")
+    return sums.mapInPandas(run, "grp string, start int, mu array<double>, inv array<double>, det double")
 
 
 def step(rows: DataFrame, now: DataFrame) -> DataFrame:
-    """The next estimate, from the SUBSET of each group that is nearest under this one (all of the last bin)."""
-    binned = salted(rows, now, ["grp"]).select("grp", "x", F.floor(F.log1p(distance()) * 64).alias("bin"))
-    counts = binned.groupBy("grp", "bin").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("grp")
+    """The next estimates, from the SUBSET of each group that is nearest under these (all of the last bin)."""
+    bin_of = F.floor(F.log1p(F.greatest(distance(), F.lit(0.0))) * BINS)
+    counts = salted(rows, now, ["grp"]).groupBy("grp", "start", bin_of.alias("bin")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("grp", "start")
     running = counts.withColumn("cum", F.sum("c").over(w.orderBy("bin"))).withColumn("n", F.sum("c").over(w))
-    edge = running.filter(F.col("cum") >= SUBSET * F.col("n")).groupBy("grp").agg(F.min("bin").alias("edge"))
-    inner = salted(rows, now.join(edge, "grp"), ["grp"]).filter(F.floor(F.log1p(distance()) * 64) <= F.col("edge"))
+    edge = running.filter(F.col("cum") >= SUBSET * F.col("n")).groupBy("grp", "start").agg(F.min("bin").alias("edge"))
+    inner = salted(rows, now.join(edge, ["grp", "start"]), ["grp"]).filter(bin_of <= F.col("edge"))
     x = [F.get("x", F.lit(i)).cast("long") for i in range(P)]
-    sums = inner.groupBy("grp").agg(F.count("*").alias("n"), F.array(*(F.sum(c) for c in x)).alias("s"), F.array(*(F.sum(x[i] * x[j]) for i, j in PAIRS)).alias("ss"))
+    sums = inner.groupBy("grp", "start").agg(F.count("*").alias("n"), F.array(*(F.sum(c) for c in x)).alias("s"), F.array(*(F.sum(x[i] * x[j]) for i, j in PAIRS)).alias("ss"))
     return written(estimated(sums), "estimate")
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """grp, mu, inv for each group of rows (grp, doc_id, x)."""
+    """grp, mu, inv and det, the log determinant, for each group of rows (grp, doc_id, x) that has LEAST rows."""
     enough = rows.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("grp")
-    now = written(start(rows).join(enough, "grp", "left_semi"), "estimate")
-    for _ in range(STEPS):
+    now = written(start(rows.join(written(enough, "enough"), "grp", "left_semi")), "estimate")
+    for _ in range(FIRST):
         now = step(rows, now)
-    return now
+    order = F.struct("det", "start")
+    best = written(now.groupBy("grp").agg(F.min_by(F.struct(*now.columns), order).alias("b")).select("b.*", F.lit(True).alias("fell")), "best")
+    for _ in range(STEPS):
+        after = step(rows, best.filter("fell").drop("fell")).select("grp", *(F.col(c).alias(f"{c}_after") for c in ("mu", "inv", "det")))
+        fell = F.coalesce(F.col("det_after") < F.col("det") - FALL, F.lit(False))
+        took = [F.when(fell, F.col(f"{c}_after")).otherwise(F.col(c)).alias(c) for c in ("mu", "inv", "det")]
+        best = written(best.join(after, "grp", "left").select("grp", "start", *took, fell.alias("fell")), "best")
+        if best.filter("fell").isEmpty():
+            break
+    return best.select("grp", "mu", "inv", "det")
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -224,7 +266,7 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = written(grouped(measured(docs)), "measured")
     model = fit(rows.filter("NOT base_failed").select("grp", "doc_id", "x"))
     out = salted(rows, model, ["grp"], "left").withColumn("d2", distance())
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)).drop("mu", "inv")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)).drop("mu", "inv", "det")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
