@@ -17,8 +17,10 @@ r"""SimHash near-dedup with pivot distance tables.
 `drop_near` needs a similarity of 0.8, for which fingerprints are too coarse: MinHash bands over the very shingles
 that are judged propose pairs there, and the exact similarity of all that meet decides (see `similar_links`).
 
-Defined results: null and empty texts have fingerprint zero, which links like any other; repeated rows
-are copies; an empty table gives an empty result; other columns are ignored or, in `drop_near`, kept.
+Defined results: null and empty texts have fingerprint zero, which links like any other, and in `drop_near` are copies
+of each other; texts of any length are read whole, one of fewer words than a shingle is one shingle; repeated rows
+are copies; of equal choices the smallest doc_id (null last) stays, then the first row; an empty table gives an empty
+result; other columns are ignored or, in `drop_near`, kept, whatever their names. Rows are numbered in a written table.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import documents, shuffle_parts, written
+from .common import discard, documents, numbered, shuffle_parts, written
 from .components import components
 
 SEED = 42
@@ -244,7 +246,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """row_id, doc_id, fp (two longs, a digest of the set of shingles) and keys of its bands."""
+    """row_id, doc_id, fp (two longs, a digest of the set of shingles) and keys of its bands, from row_id, doc_id, text."""
 
     def run(batches):
         for b in batches:
@@ -253,19 +255,18 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), fp, keys], ["row_id", "doc_id", "fp", "keys"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "row_id long, doc_id long, fp array<long>, keys array<long>")
+    return docs.mapInArrow(run, "row_id long, doc_id long, fp array<long>, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, of: DataFrame, words: int) -> DataFrame:
-    """node and s, the distinct shingle hashes, of the rows of docs that are in of (node)."""
+    """node and s, the distinct shingle hashes, of the rows of docs (row_id, text) that are in of (node)."""
 
     def run(batches):
         for b in batches:
             s = pa.array([shingle_hashes(t.as_py(), words, True).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("node"), s], ["node", "s"])
 
-    texts = docs.select(F.monotonically_increasing_id().alias("node"), "text").join(of, "node", "left_semi")
+    texts = docs.select(F.col("row_id").alias("node"), "text").join(of, "node", "left_semi")
     return texts.mapInArrow(run, "node long, s array<long>")
 
 
@@ -315,11 +316,13 @@ def similar_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, similarity
     each = keys.select("node", F.explode("keys").alias("key"))
     shared = written(each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1").drop("n"), "shared")
     met = written(each.join(shared, "key"), "met")
+    discard(keys, shared)
     sets = written(shingle_sets(docs, met.select("node").distinct(), words), "sets")
     star = met.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     first = written(verified(star, sets, similarity), "first")
     state = met.filter("node <> hub").join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     state = written(state, "state")
+    discard(met)
     mixed_ids = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     roots = state.groupBy("key", "root").agg(F.count("*").alias("n"), *mixed_ids)
     top = F.max(F.struct("n", "root")).alias("top")
@@ -351,12 +354,13 @@ def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataF
     """docs with one document of each group of near copies: similarity or more over shingles of words words.
 
     Documents of equal sets of shingles are one node. Nodes that share a MinHash band's key are compared exactly.
-    docs must be a table, as its rows are numbered by their place.
     """
-    rows = written(signatures(docs, words), "signatures")
-    found = near_components(rows, lambda nodes: similar_links(nodes, rows, docs, similarity, words))
-    kept = found.filter("row_id = keep_row").select(F.col("row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    table, row = numbered(docs)
+    texts = table.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = written(signatures(texts, words), "signatures")
+    found = near_components(rows.drop("keys"), lambda nodes: similar_links(nodes, rows, texts, similarity, words))
+    kept = found.filter("row_id = keep_row").select(F.col("row_id").alias(row))
+    return table.join(kept, row, "left_semi").drop(row)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
