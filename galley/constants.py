@@ -49,8 +49,8 @@ TERMINAL = "。！？"
 LINE_STOPS = "。！？；…：.!?;:）)》」』】〕》\"'”’"
 
 # Traditional forms, and radicals without a compatibility form, to the characters they stand for.
-TRADITIONAL = dict(zip("戶門馬車頁見貝風長齒龜黽麥黃韋飛魚鳥龍齊鹵語貞隸", "户门马车页见贝风长齿龟黾麦黄韦飞鱼鸟龙齐卤语贞隶", strict=True))
-RADICALS = dict(zip("⻔⻋⻓⻛⻆⻰⻚⻩⻜⻢⻅⻨⻣⻙", "门车长风角龙页黄飞马见麦骨韦", strict=True))
+TRADITIONAL = {"戶": "户", "門": "门", "馬": "马", "車": "车", "頁": "页", "見": "见", "貝": "贝", "風": "风", "長": "长", "齒": "齿", "龜": "龟", "黽": "黾", "麥": "麦", "黃": "黄", "韋": "韦", "飛": "飞", "魚": "鱼", "鳥": "鸟", "龍": "龙", "齊": "齐", "鹵": "卤", "語": "语", "貞": "贞", "隸": "隶"}
+RADICALS = {"⻔": "门", "⻋": "车", "⻓": "长", "⻛": "风", "⻆": "角", "⻰": "龙", "⻚": "页", "⻩": "黄", "⻜": "飞", "⻢": "马", "⻅": "见", "⻨": "麦", "⻣": "骨", "⻙": "韦"}
 
 # Layout labels.
 LABEL_TYPES = {

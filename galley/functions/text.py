@@ -54,6 +54,24 @@ def pieces_after(c, ends: str) -> Column:
     return F.filter(F.split(col(c), f"(?<={quoted(ends)})", -1), lambda x: x != "")
 
 
+def starts(lengths: Column, block: int = 64) -> Column:
+    """For each element of an array of lengths the sum of those before it; summed by blocks, so that long arrays stay
+    cheap."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+    def within(n: Column) -> Column:
+        firsts = F.when(F.size(n) > 0, F.sequence(F.lit(0), F.size(n) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+        sums = F.transform(firsts, lambda at: total(F.slice(n, at + 1, block)))
+
+        def placed(b: Column) -> Column:
+            before = F.transform(b, lambda _, k: total(F.slice(b, F.lit(1), k)))
+            return let(before, lambda base: F.transform(n, lambda _, i: F.get(base, F.floor(i / block).cast("int")) + total(F.slice(n, i - i % block + 1, i % block))))
+
+        return let(sums, placed)
+
+    return let(lengths, within)
+
+
 def has_any(c, words) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(col(c), F.lit(w)) for w in words))
 
@@ -104,17 +122,21 @@ def without_c0(c) -> Column:
     return sub(c, r"[\x00-\x09\x0b-\x1f\x7f]")
 
 
+#: Blocks of Unicode whose characters look like ideographs that have a code point of their own.
+LOOKALIKE_BLOCKS = ("KANGXI RADICAL", "CJK COMPATIBILITY IDEOGRAPH")
+
+
+def variants() -> dict[str, str]:
+    """Look-alike characters and those they stand for: the named ones that Unicode's own tables give a compatibility
+    form, brought to simplified characters, and radicals that have none."""
+    named = (chr(c) for c in range(0x2E00, 0x30000) if unicodedata.name(chr(c), "").startswith(LOOKALIKE_BLOCKS))
+    forms = ((c, unicodedata.normalize("NFKC", c)) for c in named)
+    return {c: K.TRADITIONAL.get(to, to) for c, to in forms if to != c} | K.RADICALS
+
+
 def variant_table() -> tuple[str, str]:
-    """Look-alike code points and the characters they stand for: compatibility forms by Unicode's own tables,
-    brought to simplified characters, and radicals that have none."""
-    pairs = {}
-    for lo, hi in ((0x2F00, 0x2FD5), (0xF900, 0xFAFF), (0x2F800, 0x2FA1D)):
-        for c in map(chr, range(lo, hi + 1)):
-            to = unicodedata.normalize("NFKC", c)
-            if to != c and unicodedata.name(c, ""):
-                pairs[c] = K.TRADITIONAL.get(to, to)
-    pairs |= K.RADICALS
-    return "".join(pairs), "".join(pairs.values())
+    table = variants()
+    return "".join(table), "".join(table.values())
 
 
 def folded(c) -> Column:
@@ -122,5 +144,13 @@ def folded(c) -> Column:
     return F.translate(col(c), *variant_table())
 
 
+def html_escaped(c) -> Column:
+    """Text as it may stand in HTML, in attributes too."""
+    out = col(c)
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
 def file_name(c) -> Column:
     return sub(c, r'[\\/:*?"<>|]', "_")

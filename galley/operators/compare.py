@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 import difflib
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -37,11 +38,36 @@ def streams(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def sentences(texts: DataFrame, ends: str = K.SENTENCE_END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, seq, start, sentence. Starts are running sums of lengths within the row."""
+    """key, seq, start, sentence. Starts are running sums of lengths within the row; no shuffle."""
     cut = texts.select(key, T.pieces_after(text, ends).alias("s"))
-    each = cut.select(key, F.posexplode("s").alias("seq", "sentence"))
-    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return each.select(key, "seq", F.coalesce(F.sum(F.length("sentence")).over(w), F.lit(0)).alias("start"), "sentence")
+    timed = F.arrays_zip(F.col("s"), T.starts(F.transform("s", F.length)).alias("at"))
+    each = cut.select(key, F.posexplode(timed).alias("seq", "x"))
+    return each.select(key, "seq", F.col("x.at").alias("start"), F.col("x.s").alias("sentence"))
+
+
+def stream_rows(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, text, and pieces, an array of (start, block_index, piece): what `stream_pieces` and `streams` give, from
+    documents with their blocks in an array (block_index, text, block_type), and without a shuffle."""
+    lines = lambda b: F.transform(F.split(T.unwrap(b.text), "\n"), lambda x: F.struct(b.block_index.alias("block_index"), T.normalised(x).alias("piece")))
+    texts = F.filter("blocks", lambda b: b.block_type != "table")
+    pieces = F.filter(F.flatten(F.transform(texts, lines)), lambda p: p.piece != "")
+    made = rows.select(key, pieces.alias("p"))
+    at = T.starts(F.transform("p.piece", F.length))
+    placed = F.zip_with("p", at, lambda p, a: F.struct(a.alias("start"), p.block_index.alias("block_index"), p.piece.alias("piece")))
+    return made.select(key, F.array_join("p.piece", "").alias("text"), placed.alias("pieces"))
+
+
+def sentence_blocks(rows: DataFrame, ends: str = K.SENTENCE_END, key: str = "doc_id") -> DataFrame:
+    """key, seq, start, sentence, block_index of the piece in which each sentence starts, from documents with their
+    blocks in an array. Starts of pieces and sentences are sorted together in the row: a sentence at place i of both,
+    the n-th of its kind, stands in piece i - n."""
+    cut = stream_rows(rows, key).select(key, "pieces", T.pieces_after("text", ends).alias("s"))
+    timed = cut.select(key, "pieces", "s", T.starts(F.transform("s", F.length)).alias("at"))
+    tag = lambda a, side: F.transform(a, lambda x, i: F.struct(x.alias("start"), F.lit(side).alias("side"), i.alias("seq")))
+    both = F.array_sort(F.concat(tag(F.col("pieces.start"), 0), tag(F.col("at"), 1)))
+    found = F.transform(both, lambda x, i: F.when(x.side == 1, F.struct(x.seq.alias("seq"), x.start.alias("start"), F.get("s", x.seq).alias("sentence"), F.get("pieces", i - x.seq - 1).block_index.alias("block_index"))))
+    each = timed.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
+    return each.select(key, "x.*")
 
 
 def block_at(points: DataFrame, pieces: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -93,9 +119,9 @@ def side(blocks: DataFrame, ids: DataFrame, ends: str, name: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias(f"{name}_id"), cut.alias(f"{name}_s"), where.alias(f"{name}_p"))
 
 
-def place_of(sentences: list[str], pieces: list, at: int) -> tuple:
+def place_of(starts: list[int], pieces: list, at: int) -> tuple:
     """block_index and place of the block in which the at-th sentence starts."""
-    start = sum(map(len, sentences[:at]))
+    start = starts[at]
     p = pieces[max(0, bisect.bisect_right(pieces, start, key=lambda x: x["start"]) - 1)]
     return p["block_index"], p["place"]
 
@@ -112,9 +138,10 @@ def diffs(pairs: DataFrame, original: DataFrame, formatted: DataFrame, ends: str
             rows = []
             for r in pdf.itertuples(index=False):
                 o, op, f, fp = (list(x) if x is not None else [] for x in (r.original_s, r.original_p, r.formatted_s, r.formatted_p))
+                o_at, f_at = (list(accumulate(map(len, x), initial=0)) for x in (o, f))
                 for n, (kind, a, b, i, j) in enumerate(script(o, f)):
-                    here = place_of(f, fp, j) if j >= 0 else (None, None)
-                    there = place_of(o, op, i)[1] if i >= 0 else None
+                    here = place_of(f_at, fp, j) if j >= 0 else (None, None)
+                    there = place_of(o_at, op, i)[1] if i >= 0 else None
                     gone = kind == "delete" or j < 0
                     rows.append((r.pair_id, n, kind, a, b, ("(原稿)" + there if there else "") if gone else here[1], None if gone else here[0]))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in DIFFS.split(", ")]).astype({"block_index": "Int32"})

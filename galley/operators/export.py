@@ -6,15 +6,16 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley import constants as K
+from galley.functions import text as T
 
 COLUMNS = ("page_location", "original_text", "issue_type", "priority", "layer", "suggestion", "status", "note")
 # Headings and fills of the sheet, and the end of its name.
 HEADINGS = ("页码/位置", "原文", "问题类型", "优先级", "分层标注", "修改建议", "处理状态", "批注")
-RED, YELLOW, SUFFIX = "FFFFC7CE", "FFFFF2CC", "_校对清单.xlsx"
+RED, YELLOW, SUFFIX, UNNAMED = "FFFFC7CE", "FFFFF2CC", "_校对清单.xlsx", "未命名文档"
 
 
 def accepted(issues: DataFrame) -> DataFrame:
@@ -58,6 +59,32 @@ def export_record(issues: DataFrame, records: DataFrame, record_id: int) -> byte
     return workbook(accepted(issues.filter(F.col("record_id") == record_id)).orderBy("issue_id").collect())
 
 
+def file_name(doc_name: str | Column, at: str | Column) -> Column:
+    """The name of a record's sheet: time of writing, document, suffix."""
+    name = T.file_name(F.coalesce(F.when(T.col(doc_name) != "", T.col(doc_name)), F.lit(UNNAMED)))
+    return F.concat(F.date_format(T.col(at), "yyyyMMddHHmmss"), F.lit("_"), name, F.lit(SUFFIX))
+
+
+def export_to(workspace, record_id: int, folder: str, at) -> str:
+    """Write the workbook of one record into a folder that Spark can write to, note its path in the record, and remove
+    what retention no longer keeps there. Returns the path."""
+    spark = workspace.spark
+    data = export_record(workspace.read("issues"), workspace.read("records"), record_id)
+    row = workspace.read("records").filter(F.col("record_id") == record_id).select(file_name("doc_name", F.lit(at).cast("timestamp_ntz")).alias("n")).first()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{folder.rstrip('/')}/{row['n']}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(data)
+    out.close()
+    files = [(f.getModificationTime(), f.getPath().getName(), f.getPath()) for f in fs.listStatus(path.getParent()) if f.isFile()]
+    for _, name, old in sorted(files, key=lambda x: x[:2], reverse=True)[K.KEEP_FILES :]:
+        if name != row["n"]:
+            fs.delete(old, False)
+    workspace.change("records", record_id, result_path=str(path))
+    return str(path)
+
+
 def surplus(files: DataFrame, group: list[str], keep: int = K.KEEP_FILES) -> DataFrame:
     """Files that retention removes: all but the newest of each group. files: path, modified."""
     w = Window.partitionBy(*group).orderBy(F.col("modified").desc(), F.col("path").desc())

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from galley import constants as K
 from galley.functions import text as T
@@ -69,3 +71,51 @@ def repair_rates(lines: DataFrame, gates=(0.0, 0.5, 0.7, 0.8, 0.9, 1.0)) -> Data
 
 def chunk_sizes(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return chunks.groupBy(key).agg(F.count("*").alias("n_chunks"), F.avg("char_count").alias("avg_chars"), F.max("char_count").alias("max_chars"))
+
+
+def finding_counts(issues: DataFrame, key: str = "doc_id") -> DataFrame:
+    """For each record and category: findings, and how many of them have no place."""
+    return issues.groupBy(key, "category").agg(F.count("*").alias("n"), F.count_if(~F.coalesce("located", F.lit(False))).alias("n_unlocated"))
+
+
+def text_source(pages: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, text_source: the one way in which all pages of a document were read, else mixed, also without pages.
+    pages: key, route."""
+    ways = pages.groupBy(key).agg(F.min("route").alias("a"), F.max("route").alias("b"))
+    return documents.select(key).join(ways, key, "left").select(key, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("mixed").alias("text_source"))
+
+
+def summaries(figures: DataFrame, key: str = "record_id") -> DataFrame:
+    """key, summary, alarm: the sentence about a record's findings; an alarm where nothing was found but warnings were
+    given, as then most likely nothing was read. figures: those of `classify.stats`, and warnings, their number."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    # The words of the sentence and of the alarm.
+    parts = [F.concat(F.lit(f"{name} "), n(c)) for name, c in zip(K.LAYERS, ("count_confirmed", "count_doubtful", "count_quotation", "count_optional"), strict=True)]
+    text = F.concat(F.lit("本次共发现 "), n("total_issues"), F.lit(" 处："), F.concat_ws("、", *parts), F.lit("（其中高优先级 "), n("high_priority_count"), F.lit("）。"))
+    empty = (F.coalesce("total_issues", F.lit(0)) == 0) & (F.col("warnings") > 0)
+    alarm = F.when(empty, F.concat(F.lit("本次结果为0条问题，但同时有"), n("warnings"), F.lit("条处理失败/异常提示")))
+    return figures.select(key, text.alias("summary"), alarm.alias("alarm"))
+
+
+def cards(issues: DataFrame) -> DataFrame:
+    """Stored findings as they are shown: texts escaped, a place or the mark for none, and notes on the layer, of which
+    stored ones have none."""
+    notes = F.coalesce(F.col("layer_notes"), F.array().cast("array<string>")) if "layer_notes" in issues.columns else F.array().cast("array<string>")
+    shown = {c: T.html_escaped(F.coalesce(c, F.lit(""))) for c in ("original_text", "suggestion", "note")}
+    return issues.withColumns(shown | {"page_location": F.coalesce("page_location", F.lit(K.UNLOCATED)), "layer_notes": notes})
+
+
+@F.pandas_udf(StringType())
+def quoted_line(place: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([f"{p!r}\t{t!r}" for p, t in zip(place, text, strict=True)], dtype=object)
+
+
+def text_dump(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, block_index, line: place and text of each block as quoted literals on one line, for comparing two readings
+    with line tools. Write it sorted: ``.sort(key, "block_index").select("line").write.text(path)``."""
+    return blocks.select(key, "block_index", quoted_line("source_location", "text").alias("line"))
+
+
+def findings_json(issues: DataFrame, path: str) -> None:
+    """Raw findings as JSON, one object a line in the order of ord; `blocks.replayed` reads arrays of such objects."""
+    issues.sort("ord").write.mode("overwrite").json(path)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from galley import constants as K
+from galley.functions import text as T
+from galley.operators.glyphs import CODES, unreadable
 
 GATE = 0.8
 
@@ -24,17 +28,30 @@ def aligned(text: str, read: str) -> dict[int, str]:
 
 
 def agreement(text: str, pairs: dict[int, str], bad: set[int]) -> float:
-    """The share of sound characters that the reading confirms."""
-    sound = [i for i in range(len(text)) if i not in bad]
-    return sum(pairs.get(i) == text[i] for i in sound) / len(sound) if sound else 0.0
+    """The share of sound characters that the reading confirms; nothing speaks against a line that has none."""
+    checked = [pairs.get(i) == c for i, c in enumerate(text) if i not in bad]
+    return sum(checked) / len(checked) if checked else 1.0
+
+
+@cache
+def comparable() -> tuple[re.Pattern, dict[int, str]]:
+    """Codes that no reading shows, and the characters that look-alikes are read as."""
+    codes = re.sub(r"\\x\{(\w+)\}", lambda m: rf"\U{int(m[1], 16):08x}", CODES)
+    return re.compile(codes), str.maketrans(T.variants())
 
 
 def repaired(text: str, bad: list[int], read: str | None, gate: float = GATE) -> str:
-    """text with each bad character read, or marked as unreadable."""
-    wrong, pairs = set(bad), aligned(text, read or "")
-    sure = agreement(text, pairs, wrong) >= gate
-    fill = lambda i: pairs.get(i, K.UNREADABLE) if sure else K.UNREADABLE
-    return "".join(fill(i) if i in wrong else c for i, c in enumerate(text))
+    """text with each bad character read, or marked as unreadable. Line and reading are compared without codes and with
+    look-alikes folded, else every one of those would count against the reading; the text itself keeps them."""
+    codes, fold = comparable()
+    wrong = set(bad)
+    shown = [i for i, c in enumerate(text) if not codes.match(c)]
+    line = "".join(text[i] for i in shown).translate(fold)
+    pairs = aligned(line, read) if read else {}
+    doubtful = {k for k, i in enumerate(shown) if i in wrong}
+    sure = bool(pairs) and agreement(line, pairs, doubtful) >= gate
+    found = {shown[k]: pairs[k] for k in doubtful if sure and k in pairs}
+    return "".join(found.get(i, K.UNREADABLE) if i in wrong else c for i, c in enumerate(text))
 
 
 @F.pandas_udf(StringType())
@@ -43,7 +60,8 @@ def repair(text: pd.Series, bad: pd.Series, read: pd.Series) -> pd.Series:
 
 
 def fabricated(glyphs: DataFrame, trace: DataFrame, page: list[str]) -> DataFrame:
-    """glyphs that the drawing trace shows to have no character of their own, met by place to a hundredth."""
+    """glyphs that the drawing trace shows to have no character of their own, met by place to a hundredth. Codes have
+    none either, but nobody takes them for characters."""
     key = [F.round("ox", 2).alias("__x"), F.round("oy", 2).alias("__y")]
     odd = trace.filter(F.col("c") == "�").select(*page, *key).distinct()
-    return glyphs.select("*", *key).join(odd, [*page, "__x", "__y"], "left_semi").drop("__x", "__y")
+    return glyphs.filter(~unreadable(F.col("c"))).select("*", *key).join(odd, [*page, "__x", "__y"], "left_semi").drop("__x", "__y")

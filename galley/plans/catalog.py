@@ -9,7 +9,7 @@ from galley import constants as K
 from galley import workspace as W
 from galley.functions import lookalike
 from galley.functions import text as T
-from galley.operators import chunking, classify, compare, export, feedback, glyphs, layout, locate, metrics, review_map
+from galley.operators import chunking, classify, compare, export, feedback, glyphs, layout, locate, metrics, pages, repair, review_map
 from galley.sources import blocks as B
 
 #: Latin stand-ins for the sentence marks, as the tables hold no full-width ones.
@@ -126,7 +126,7 @@ def blocks_from_documents(spark, sf):
 
 
 def context_snippet(spark, sf):
-    return locate.context(blocks(spark, sf))
+    return locate.contexts(rows(spark, sf))
 
 
 def ws_strip_dedup_key(spark, sf):
@@ -142,9 +142,7 @@ def sentence_split_offsets(spark, sf):
 
 
 def stream_block_asof(spark, sf):
-    pieces = compare.stream_pieces(blocks(spark, sf))
-    points = compare.sentences(compare.streams(pieces), ENDS).select("doc_id", "seq", "start")
-    return compare.block_at(points, pieces).select("doc_id", "seq", F.col("start").cast("long"), "block_index")
+    return compare.sentence_blocks(rows(spark, sf), ENDS).select("doc_id", "seq", F.col("start").cast("long"), "block_index")
 
 
 def unreadable_clause_drop(spark, sf):
@@ -428,6 +426,75 @@ def reason_cleanup(spark, sf):
     return f.groupBy(lookalike.cleaned_reason("reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
+def finding_counts(spark, sf):
+    return metrics.finding_counts(findings(spark, sf))
+
+
+def text_source_rollup(spark, sf):
+    """Pages by rule; documents without a block have none."""
+    p = page_rows(spark, sf).groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("n"))
+    pages = p.select("doc_id", F.when(F.col("n") % 4 == 0, "ocr").otherwise("native").alias("route"))
+    return metrics.text_source(pages, table(spark, sf, "documents"))
+
+
+def result_summary(spark, sf):
+    """Every document as a record, with a warning for every third."""
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("warnings"))
+    return metrics.summaries(d.join(classify.stats(final(spark, sf)), "doc_id", "left"), "doc_id")
+
+
+def issue_cards(spark, sf):
+    shown = metrics.cards(issues(spark, sf).withColumn("suggestion", F.concat(F.lit("<b a='1'>&\""), "suggestion")))
+    return shown.select("record_id", "issue_id", "page_location", "original_text", "suggestion", "note", F.size("layer_notes").alias("n_notes"))
+
+
+def dangling_tasks(spark, sf):
+    """Orders as records; the tasks are those customers whose key ends in another digit than 7."""
+    tasks = table(spark, sf, "customer").filter("c_custkey % 10 <> 7").select(F.col("c_custkey").alias("task_id"))
+    return W.dangling(records(spark, sf), tasks).select("record_id", "task_id")
+
+
+def export_file_name(spark, sf):
+    o = table(spark, sf, "orders")
+    name = F.when(F.col("o_orderkey") % 9 > 0, F.concat(F.lit("a:b/"), F.col("o_orderkey").cast("string")))
+    return o.select(F.col("o_orderkey").alias("record_id"), export.file_name(name, F.col("o_orderdate").cast("timestamp_ntz")).alias("file_name"))
+
+
+def zone_of_block(spark, sf):
+    return boxes(spark, sf).withColumn("height", F.lit(800.0)).select("doc_id", "page", "ord", layout.zone().alias("zone"))
+
+
+def text_dump(spark, sf):
+    return metrics.text_dump(blocks(spark, sf))
+
+
+def glyph_repair(spark, sf):
+    """Blocks with every thirteenth character taken for another, and a reading that is right but for every fortieth."""
+    chars = F.split("text", "")
+    bad = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: i % 13 == 5)
+    wrong = F.array_join(F.transform(chars, lambda c, i: F.when(i % 13 == 5, F.lit("侧")).otherwise(c)), "")
+    read = F.array_join(F.transform(chars, lambda c, i: F.when(i % 40 == 7, F.lit("#")).otherwise(c)), "")
+    return blocks(spark, sf).select("doc_id", "block_index", repair.repair(wrong, bad, read).alias("text"))
+
+
+def native_blocks(spark, sf):
+    """Blocks set as lines of 40 glyphs in columns 320 wide, and assembled again."""
+    return pages.assembled(glyph_blocks(spark, sf)).select("doc_id", "block_index", "text", F.col("last_row_bbox.x1").alias("last_x1"))
+
+
+def glyph_blocks(spark, sf) -> DataFrame:
+    """Each block as lines of 40 characters, glyphs eight units wide, lines twelve high; every fifth line is split in two
+    halves of one row, the right one first."""
+    chars = F.split("text", "")
+    row = lambda k: F.transform(F.slice(F.col("c"), k * 40 + 1, 40), lambda c, i: F.struct(i.alias("seq"), c.alias("c"), (i * 8.0).alias("x0"), (i * 8.0 + 8.0).alias("x1")))
+    box = lambda g, k: F.struct(F.array_min(g.x0).alias("x0"), (k * 14.0).alias("y0"), F.array_max(g.x1).alias("x1"), (k * 14.0 + 12.0).alias("y1"))
+    line = lambda g, k: F.struct(g.alias("glyphs"), box(g, k).alias("bbox"), F.lit(8.0).alias("size"))
+    whole = lambda k: F.array(line(row(k), k))
+    halves = lambda k: F.array(line(F.slice(row(k), 21, 20), k), line(F.slice(row(k), 1, 20), k))
+    lines = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size("c") - 1) / 40).cast("int")), lambda k: F.when((k % 5 == 4) & (F.size("c") > k * 40 + 20), halves(k)).otherwise(whole(k))))
+    return blocks(spark, sf).select("doc_id", "block_index", chars.alias("c")).select("doc_id", "block_index", lines.alias("lines"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -438,6 +505,7 @@ QUERIES = {
         authors_union, feedback_left_join, feedback_eligible, rules_min_support, followup_last_turns, export_projection,
         retention_topk, latest_values, layer_groups, header_footer_strip, reading_order, block_kinds, majority_layout,
         region_assignment, noise_metrics, noise_delta, file_fingerprint_md5, format_dispatch, variant_fold, nfkc_noop, review_chain,
-        doc_diff, column_boundaries, wrapped_merge, glyph_lines, llm_map_fake, reason_cleanup,
+        doc_diff, column_boundaries, wrapped_merge, glyph_lines, llm_map_fake, reason_cleanup, finding_counts, text_source_rollup,
+        result_summary, issue_cards, dangling_tasks, export_file_name, zone_of_block, text_dump, glyph_repair, native_blocks,
     )
 }

@@ -275,4 +275,42 @@ SELECT doc_id, sum(a)::BIGINT AS mid_sentence_breaks, 0::BIGINT AS location_brea
     "file_fingerprint_md5": "SELECT doc_id, md5(coalesce(text, '')) AS fingerprint, md5(coalesce(text, '') || source) AS pair_fingerprint FROM documents",
     "format_dispatch": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pdf' ELSE 'docx' END AS kind, CASE WHEN length({strip('text')}) >= 200 THEN 'native' ELSE 'ocr' END AS route FROM documents",
     "variant_fold": "SELECT doc_id, md5(coalesce(text, '')) AS folded_md5, md5(regexp_replace(coalesce(text, ''), '[\\x00-\\x09\\x0b-\\x1f\\x7f]', '', 'g')) AS clean_md5 FROM documents",
+    "overlap_routing": f"""WITH RECURSIVE {CHUNKS},
+px AS (
+  SELECT g.doc_id, g.chunk, g.i, g.block_index, u.piece, lag(g.block_index) OVER (PARTITION BY g.doc_id, g.chunk ORDER BY g.i) AS before,
+    dense_rank() OVER (PARTITION BY g.doc_id, g.chunk ORDER BY g.block_index DESC) AS back
+  FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i),
+py AS (
+  SELECT doc_id, chunk, string_agg(CASE WHEN before <> block_index THEN chr(10) || piece ELSE piece END, '' ORDER BY i) AS body,
+    string_agg(piece, '' ORDER BY i) FILTER (back <= {K.OVERLAP}) AS tail FROM px GROUP BY doc_id, chunk),
+pz AS (SELECT y.doc_id, y.body, p.tail, unnest([p.tail[1:30], y.body[1:30], '§ ' || y.doc_id]) AS snippet FROM py y JOIN py p ON p.doc_id = y.doc_id AND p.chunk = y.chunk - 1)
+SELECT doc_id, CASE WHEN contains({no_space("body")}, {no_space("snippet")}) THEN 'body' WHEN contains({no_space("tail")}, {no_space("snippet")}) THEN 'drop' ELSE 'unlocated' END AS route, count(*) AS n
+FROM pz GROUP BY 1, 2""",
+    "noise_delta": f"""WITH {FINDINGS},
+fo AS (SELECT doc_id, original_text[1:6] || chr(10) || original_text[7:46] AS o, original_text[1:6] || original_text[7:46] AS s FROM f),
+fn AS (
+  SELECT doc_id, length(o) >= 40 AS long, (regexp_matches(o, '《{SPACE}') OR regexp_matches(o, '[0-9]{SPACE}*《{SPACE}*\\.'))::INT AS c,
+    len(list_filter(range(1, length(s) - 2), lambda i: contains(s, s[i:i + 3]) AND NOT contains(o, s[i:i + 3]))) > 0
+      OR (length(o) >= 11 AND contains(s, o[3:6]) AND contains(s, o[8:11])) AS wrap
+  FROM fo),
+fg AS (SELECT doc_id, count(*) AS total, sum(c)::BIGINT AS n1, 0::BIGINT AS n2, count(*) FILTER (wrap AND long) AS n3_long, count(*) FILTER (wrap AND NOT long) AS n3_short FROM fn GROUP BY doc_id)
+SELECT a.doc_id AS baseline, b.doc_id AS current, b.total - a.total AS d_total, b.n1 - a.n1 AS d_n1, b.n2 - a.n2 AS d_n2, b.n3_long - a.n3_long AS d_n3_long, b.n3_short - a.n3_short AS d_n3_short
+FROM fg a JOIN fg b ON b.doc_id = a.doc_id + 1""",
+    "glyph_lines": f"""WITH {BLOCKS},
+r1 AS (SELECT doc_id, block_index, regexp_replace(text, '([A-Za-z0-9])[\\x00-\\x1f]([A-Za-z0-9])', '\\1 \\2', 'g') AS t FROM b),
+r2 AS (SELECT doc_id, block_index, regexp_replace(t, '([A-Za-z0-9])[\\x00-\\x1f]([A-Za-z0-9])', '\\1 \\2', 'g') AS t FROM r1)
+SELECT doc_id, block_index, {strip("t")} AS line FROM r2""",
+    "finding_counts": f"WITH {FINDINGS} SELECT doc_id, category, count(*) AS n, count(*) FILTER (NOT located) AS n_unlocated FROM f GROUP BY doc_id, category",
+    "text_source_rollup": f"""WITH {BLOCKS}, {PAGES}, m AS (SELECT doc_id, page, CASE WHEN sum(length(text)) % 4 = 0 THEN 'ocr' ELSE 'native' END AS route FROM pg GROUP BY doc_id, page)
+SELECT d.doc_id, CASE WHEN count(DISTINCT m.route) = 1 THEN any_value(m.route) ELSE 'mixed' END AS text_source FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id""",
+    "result_summary": f"WITH {final()}, st AS (SELECT doc_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (layer = '{a}') AS n{i}" for i, a in enumerate(K.LAYERS)) + f""", count(*) FILTER (priority = '{K.HIGH}') AS high FROM z GROUP BY doc_id)
+SELECT d.doc_id, '本次共发现 ' || coalesce(total, 0) || ' 处：' || {" || '、' || ".join(f"'{a} ' || coalesce(n{i}, 0)" for i, a in enumerate(K.LAYERS))} || '（其中高优先级 ' || coalesce(high, 0) || '）。' AS summary,
+  CASE WHEN coalesce(total, 0) = 0 AND d.doc_id % 3 = 0 THEN '本次结果为0条问题，但同时有1条处理失败/异常提示' END AS alarm
+FROM documents d LEFT JOIN st ON d.doc_id = st.doc_id""",
+    "issue_cards": f"""SELECT l_orderkey AS record_id, l_orderkey * 10 + l_linenumber AS issue_id, CASE WHEN n % 5 > 0 THEN '第' || l_linenumber || '页' ELSE '{K.UNLOCATED}' END AS page_location,
+  'part ' || l_partkey AS original_text, '&lt;b a=&#x27;1&#x27;&gt;&amp;&quot;supplier ' || l_suppkey AS suggestion, CASE WHEN n % 3 = 0 THEN 'seen' ELSE '' END AS note, 0 AS n_notes
+FROM (SELECT *, l_partkey + l_linenumber AS n FROM lineitem)""",
+    "dangling_tasks": "SELECT o_orderkey AS record_id, o_custkey AS task_id FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 7)",
+    "export_file_name": "SELECT o_orderkey AS record_id, strftime(o_orderdate::TIMESTAMP, '%Y%m%d%H%M%S') || '_' || CASE WHEN o_orderkey % 9 > 0 THEN 'a_b_' || o_orderkey ELSE '未命名文档' END || '_校对清单.xlsx' AS file_name FROM orders",
+    "zone_of_block": f"WITH {BOXES} SELECT doc_id, page, ord, CASE WHEN y0 + 50 <= {K.ZONE_RATIO} * 800 THEN 'top' WHEN y0 >= (1 - {K.ZONE_RATIO}) * 800 THEN 'bottom' ELSE 'body' END AS zone FROM bx",
 }

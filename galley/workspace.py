@@ -6,10 +6,16 @@ takes the last value of each field. Small tables that are replaced as a whole ar
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley import constants as K
+from galley.operators.classify import stats
+from galley.operators.feedback import followup_prompt
+from galley.operators.locate import context
 
 TURN = "struct<question:string,answer:string,asked_at:timestamp_ntz>"
 SCHEMAS = {
@@ -43,6 +49,11 @@ def decided(issues: DataFrame, key: str = "record_id") -> DataFrame:
     return issues.groupBy(key).agg(F.count_if(F.col("status") == K.ACCEPTED).alias("accepted_count"), F.count_if(F.col("status") == K.REJECTED).alias("rejected_count"))
 
 
+def dangling(records: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Records that name a task that does not exist."""
+    return records.filter("task_id IS NOT NULL").join(tasks.select("task_id"), "task_id", "left_anti")
+
+
 def upgraded(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Tables of older shapes brought to the present ones: renamed notes, added columns, new layer names, a dropped page
     column, and records without a task put into one for old records. Running it again changes nothing."""
@@ -95,16 +106,32 @@ class Workspace:
     def next_id(self, name: str) -> int:
         return (self.base(name).agg(F.max(KEYS[name])).first()[0] or 0) + 1
 
-    def insert(self, name: str, rows: DataFrame, order: str | None = None) -> list[int]:
-        """Append rows in one commit, with ids that follow each other in order; returns the ids, one for each row."""
+    def insert(self, name: str, rows: DataFrame, order: str | None = None, ident: bool = False) -> range:
+        """Append rows in one commit, with ids that follow each other in order; returns the ids. Rows are sorted and
+        numbered by partition: each partition's first number comes from the counts of those before it. With ident, rows
+        bring their ids."""
         first, columns = self.next_id(name), self.base(name).columns
-        from pyspark.sql import Window
-
-        n = F.row_number().over(Window.orderBy(order or F.monotonically_increasing_id())) - 1 + first
-        full = self.spark.createDataFrame([], SCHEMAS[name]).unionByName(rows.withColumn(KEYS[name], n.cast("bigint")), allowMissingColumns=True).select(*columns)
-        count = rows.count()
+        if ident:
+            self.spark.createDataFrame([], SCHEMAS[name]).unionByName(rows, allowMissingColumns=True).select(*columns).write.mode("append").parquet(f"{self.path}/{name}")
+            return range(0)
+        place, part = "__place", "__part"
+        laid = rows.orderBy(order) if order else rows
+        path = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        laid.withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
+        staged = self.spark.read.parquet(path).withColumn(part, F.shiftright(place, 33))
+        counts, ids, before = staged.groupBy(part).agg(F.count("*").alias("n")).orderBy(part).collect(), {}, first
+        for r in counts:
+            ids[r[part]], before = before, before + r["n"]
+        at = F.element_at(F.create_map(*(F.lit(x) for kv in ids.items() for x in kv)), F.col(part)) if ids else F.lit(first)
+        number = (at + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")
+        full = self.spark.createDataFrame([], SCHEMAS[name]).unionByName(staged.withColumn(KEYS[name], number).drop(place, part), allowMissingColumns=True).select(*columns)
         full.write.mode("append").parquet(f"{self.path}/{name}")
-        return list(range(first, first + count))
+        self._remove(path)
+        return range(first, before)
+
+    def _remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def change(self, name: str, ident: int, **fields) -> None:
         """Set fields of one row; fields that may not change, and rows that do not exist, are errors."""
@@ -150,17 +177,77 @@ class Workspace:
     def records_by_task(self) -> DataFrame:
         return self.read("records").filter("task_id IS NOT NULL").groupBy("task_id").agg(F.count("*").alias("n_records"))
 
-    def persist(self, record: DataFrame, issues: DataFrame, order: str = "seq") -> tuple[int, list[int]]:
-        """One record and its issues, pending; issue ids follow the order. The record is written last, so that readers
-        never see one without its issues."""
-        record_id = self.next_id("records")
-        ids = self.insert("issues", issues.withColumn("record_id", F.lit(record_id).cast("bigint")).withColumn("status", F.lit(K.PENDING)), order)
-        self.insert("records", record)
+    def persist(self, record: DataFrame, issues: DataFrame, order: str = "seq", blocks: DataFrame | None = None) -> tuple[int, range]:
+        """One record with its figures and its issues, pending; issue ids follow the order. With blocks (block_index, text)
+        of the document each issue that has a place gets the text around it. The record is written last, so that readers
+        never see one without its issues: issues of an id without a record are those of a run that broke off, and the
+        next record takes another id."""
+        record_id = max(self.next_id("records"), (self.base("issues").agg(F.max("record_id")).first()[0] or 0) + 1)
+        rows = issues.withColumn("record_id", F.lit(record_id).cast("bigint")).withColumn("status", F.lit(K.PENDING))
+        if blocks is not None:
+            around = context(blocks.withColumn("doc_id", F.lit(0))).select("block_index", F.col("snippet").alias("context_snippet"))
+            rows = rows.drop("context_snippet").join(around, "block_index", "left")
+        ids = self.insert("issues", rows, order)
+        mine = self.base("issues").filter(F.col("record_id") == record_id)
+        figures = stats(mine, "record_id").collect()
+        names = CHANGEABLE["records"][1:7]
+        found = figures[0].asDict() if figures else dict.fromkeys(names, 0)
+        self.insert("records", record.withColumns({n: F.lit(found[n]).cast("bigint") for n in names}).withColumn("record_id", F.lit(record_id).cast("bigint")), ident=True)
         return record_id, ids
 
+    def persist_comparison(self, record: DataFrame, diffs: DataFrame, blocks: DataFrame | None = None) -> tuple[int, range]:
+        """The differences of a pair (as `compare.diffs` gives them) as the issues of a record of a comparison: all in one
+        layer and of one priority."""
+        rows = diffs.withColumn("issue_type", F.col("diff_type")).withColumn("priority", F.lit(K.MEDIUM))
+        return self.persist(record.withColumn("task_type", F.lit(K.RECORD_COMPARE)), rows, "seq", blocks)
+
+    def decide(self, issue_id: int, status: str, at, reason: str = "") -> None:
+        """Set an issue's status; a rejection is remembered as feedback with a copy of the issue."""
+        self.change("issues", issue_id, status=status)
+        if status == K.REJECTED:
+            issue = self.read("issues").filter(F.col("issue_id") == issue_id)
+            copy = issue.select(F.lit(at).cast("timestamp_ntz").alias("created_at"), "issue_type", "original_text", "suggestion", F.coalesce(F.nullif(F.lit(reason), F.lit("")), "reason", F.lit("")).alias("reason"), F.col("issue_id").alias("source_issue_id"), F.col("record_id").alias("source_record_id"))
+            self.insert("feedback", copy)
+
+    def forget(self, feedback_id: int) -> None:
+        """Take a rejection back."""
+        self.delete("feedback", feedback_id)
+
+    def move(self, record_id: int, task_id: int) -> None:
+        """Put a record into another task, which must exist and not be closed."""
+        if self.read("tasks").filter((F.col("task_id") == task_id) & (F.col("status") != K.STATUSES_TASK[2])).isEmpty():
+            raise ValueError(f"no open task {task_id}")
+        self.change("records", record_id, task_id=task_id)
+
+    def history(self, issue_id: int) -> list[dict]:
+        """Questions and answers about an issue, oldest first; an unknown issue is an error."""
+        if self.read("issues").filter(F.col("issue_id") == issue_id).isEmpty():
+            raise ValueError(f"no row {issue_id} in issues")
+        turns = self.base("events").filter((F.col("tbl") == "turns") & (F.col("id") == issue_id)).orderBy("seq").collect()
+        return [json.loads(r["value"]) for r in turns]
+
+    def ask(self, issue_id: int, question: str, complete, at) -> str:
+        """Answer a question about an issue with its text, what stands around it and the last turns; question and answer
+        are stored once there is an answer. Nothing else about the issue changes."""
+        before = self.history(issue_id)
+        issue = self.read("issues").filter(F.col("issue_id") == issue_id).first().asDict()
+        told = "\n".join(f"Q: {t['question']}\nA: {t['answer']}" for t in before[-K.HISTORY_TURNS :])
+        answer = complete(*followup_prompt(issue, question, told))
+        self._event("turns", issue_id, {"turn": json.dumps({"question": question, "answer": answer, "asked_at": str(at)}, ensure_ascii=False)})
+        return answer
+
+    def rules(self) -> DataFrame:
+        """The learned rules of the last replacement."""
+        rows = self.base("feedback_rules")
+        last = self.base("events").filter("tbl = 'feedback_rules' AND field = 'from'").agg(F.max_by("value", "seq")).first()[0]
+        return rows.filter(F.col("rule_id") >= int(last or 0))
+
     def replace_rules(self, rules: DataFrame, created_at) -> None:
-        numbered = rules.withColumn("rule_id", (F.monotonically_increasing_id() + 1).cast("bigint")).withColumn("created_at", F.lit(created_at).cast("timestamp_ntz"))
-        numbered.select(*self.base("feedback_rules").columns).write.mode("overwrite").parquet(f"{self.path}/feedback_rules")
+        """Put new rules in the place of the old ones: they are appended, then one event says from which id on rules count,
+        so that readers see the old or the new ones, never none."""
+        first = self.next_id("feedback_rules")
+        self.insert("feedback_rules", rules.drop("created_at").withColumn("created_at", F.lit(created_at).cast("timestamp_ntz")))
+        self._event("feedback_rules", 0, {"from": str(first)})
 
     def orphans(self) -> DataFrame:
         """Issues whose record does not exist."""

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from galley import constants as K
-from galley.operators import chunking, classify, compare, export, feedback, glyphs, layout, locate, metrics, repair, review_map
+from galley.functions import text as T
+from galley.operators import chunking, classify, compare, export, feedback, glyphs, layout, locate, metrics, pages, repair, review_map
 from galley.sources import blocks as B
 from galley.streaming import events
 from galley.workspace import Workspace, upgraded
@@ -292,6 +293,66 @@ def test_workspace(spark, tmp_path):
     assert export.export_record(w.read("issues"), w.read("records"), rid)[:2] == b"PK"
 
 
+def test_review_from_run_to_export(spark, tmp_path):
+    """Figures and contexts with a record, rejections remembered and forgotten, questions stored, a sheet with its path."""
+    w, now = Workspace(spark, str(tmp_path / "w")), dt.datetime(2026, 1, 1, 12)
+    task, other = w.create_task("a", now), w.create_task("b", now)
+    record = spark.createDataFrame([(task, "稿:1", now, K.RECORD_STANDARD)], "task_id long, doc_name string, created_at timestamp_ntz, task_type string")
+    rows = [(i, f"t{i}", "x", K.LAYERS[i % 4], K.HIGH if i < 3 else K.LOW, "s", None if i == 5 else i) for i in range(9)]
+    issues = spark.createDataFrame(rows, "seq int, original_text string, issue_type string, layer string, priority string, suggestion string, block_index int").repartition(3)
+    blocks = spark.createDataFrame([(i, f"b{i}") for i in range(9)], "block_index int, text string")
+    rid, ids = w.persist(record, issues, blocks=blocks)
+    got = w.issues(rid).collect()
+    assert [r["issue_id"] for r in got] == list(ids) == list(range(1, 10)) and [r["original_text"] for r in got] == [f"t{i}" for i in range(9)]
+    assert got[4]["context_snippet"] == "b2\nb3\nb4\nb5\nb6" and got[5]["context_snippet"] is None
+    r = w.records().first()
+    assert (r["total_issues"], r["count_confirmed"], r["count_optional"], r["high_priority_count"]) == (9, 3, 2, 3)
+    w.decide(ids[0], K.REJECTED, now, "no")
+    w.decide(ids[1], K.ACCEPTED, now)
+    f = w.read("feedback").collect()
+    assert [(x["original_text"], x["reason"], x["source_issue_id"], x["source_record_id"]) for x in f] == [("t0", "no", ids[0], rid)]
+    w.forget(f[0]["feedback_id"])
+    assert w.read("feedback").count() == 0 and w.records().first()["rejected_count"] == 1
+    said = []
+    answer = lambda system, user: said.append(user) or f"a{len(said)}"
+    assert [w.ask(ids[2], q, answer, now) for q in ("q1", "q2")] == ["a1", "a2"]
+    assert "Q: q1\nA: a1" in said[1] and [t["answer"] for t in w.history(ids[2])] == ["a1", "a2"] and w.history(ids[3]) == []
+    with pytest.raises(ValueError, match="no row"):
+        w.ask(99, "q", answer, now)
+    w.move(rid, other)
+    w.change("tasks", task, status=K.STATUSES_TASK[2])
+    with pytest.raises(ValueError, match="open task"):
+        w.move(rid, task)
+    assert w.records(other).count() == 1
+    for n in range(K.KEEP_FILES + 2):
+        path = export.export_to(w, rid, f"file://{tmp_path}/out", now + dt.timedelta(seconds=n))
+    assert path.endswith("20260101120011_稿_1_校对清单.xlsx") and w.records().first()["result_path"] == path
+    assert len([x for x in (tmp_path / "out").iterdir() if x.suffix == ".xlsx"]) == K.KEEP_FILES
+
+
+def test_comparison_record(spark, tmp_path):
+    w, now = Workspace(spark, str(tmp_path / "w")), dt.datetime(2026, 1, 1)
+    b = lambda d, *t: [(d, i, x, "paragraph", f"p{i}") for i, x in enumerate(t)]
+    blocks = spark.createDataFrame(b(1, "甲。", "乙。") + b(2, "甲。", "丙。", "丁。"), "doc_id long, block_index int, text string, block_type string, source_location string")
+    pairs = spark.createDataFrame([(7, 1, 2)], "pair_id long, original_id long, formatted_id long")
+    diffs = compare.diffs(pairs, blocks, blocks)
+    record = spark.createDataFrame([(1, now)], "task_id long, created_at timestamp_ntz")
+    rid, ids = w.persist_comparison(record, diffs, blocks.filter("doc_id = 2").select("block_index", "text"))
+    r, rows = w.records().first(), w.issues(rid).collect()
+    assert len(rows) == len(ids) == diffs.count() == r["total_issues"] == r["count_confirmed"] and r["task_type"] == K.RECORD_COMPARE
+    assert {x["priority"] for x in rows} == {K.MEDIUM} and rows[0]["context_snippet"] == "甲。\n丙。\n丁。"
+
+
+def test_rules_are_replaced_at_once(spark, tmp_path):
+    w, now = Workspace(spark, str(tmp_path / "w")), dt.datetime(2026, 1, 1)
+    rules = lambda *t: spark.createDataFrame([(x, [1, 2, 3]) for x in t], feedback.RULE)
+    w.replace_rules(rules("a", "b"), now)
+    w.replace_rules(rules("c"), now)
+    assert [r["rule_text"] for r in w.rules().collect()] == ["c"] and feedback.rules_text(w.rules()) == "- c"
+    w.replace_rules(rules(), now)
+    assert w.rules().count() == 0
+
+
 def test_upgrade(spark):
     old = {
         "tasks": spark.createDataFrame([], "task_id long, name string, description string, status string"),
@@ -329,3 +390,77 @@ def test_route_and_kind(spark):
     assert tuple(row) == ("native", "ocr", "pdf")
     with pytest.raises(Exception, match="unsupported"):
         spark.range(1).select(B.kind_of(F.lit("a.txt"))).collect()
+
+
+def test_repair_folds_and_skips_codes():
+    assert repair.agreement("侧", {0: "好"}, {0}) == 1.0
+    assert repair.repaired("侧侧", [0, 1], "好的") == "好的"
+    assert repair.repaired("侧侧", [0, 1], "") == K.UNREADABLE * 2
+    assert repair.repaired("\x01⼚\ue000⼾里有侧", [6], "厂户里有字") == "\x01⼚\ue000⼾里有字"
+    assert repair.repaired("abcdefgh侧", [8], "xxxxxxxx字") == "abcdefgh" + K.UNREADABLE
+
+
+def test_codes(spark):
+    rows = [("\U000f0000",), ("\U0010fffd",), ("\ue123",), ("\x02",), ("a",), ("字",), ("\U00020000",)]
+    got = spark.createDataFrame(rows, "c string").select(glyphs.unreadable(F.col("c")).alias("u")).collect()
+    assert [r["u"] for r in got] == [True] * 4 + [False] * 3
+
+
+def glyph_line(text, x=0.0, y=0.0, size=8.0):
+    g = [(i, c, x + 8.0 * i, x + 8.0 * i + 8.0) for i, c in enumerate(text)]
+    return (g, (x, y, x + 8.0 * len(text), y + 12.0), size)
+
+
+def test_assembled_blocks(spark):
+    kind = "doc_id long, lines array<struct<glyphs:array<struct<seq:int,c:string,x0:double,x1:double>>,bbox:struct<x0:double,y0:double,x1:double,y1:double>,size:double>>"
+    full = "这是一个写满了整行的句子还要接着往下写"
+    rows = [
+        (1, [glyph_line(full), glyph_line("下一行。", y=14.0)]),  # only wrapped
+        (2, [glyph_line(full[:-1] + "。"), glyph_line("新的一行", y=14.0)]),  # a sentence ends
+        (3, [glyph_line("a" * 20), glyph_line("b" * 20, y=14.0)]),  # a blank between Latin letters
+        (4, [glyph_line("右边", x=40.0), glyph_line("左边", x=0.0)]),  # one row, the right part first
+        (5, [glyph_line("\x01\x02"), glyph_line(" 字 ", y=14.0)]),  # only icons in a line; blanks at the ends
+        (6, [glyph_line("\x01")]),
+        (7, [([(0, "1", 0.0, 8.0), (1, ".", 8.0, 10.0), (2, "题", 22.0, 30.0)], (0.0, 0.0, 30.0, 12.0), 8.0), ([(0, "《", 10.0, 22.0)], (10.0, 0.0, 22.0, 12.0), 8.0)]),  # glyphs that mix
+        (8, [glyph_line(full), glyph_line("1. 列表项", y=14.0)]),
+        (9, None),
+    ]
+    got = {r["doc_id"]: r for r in pages.assembled(spark.createDataFrame(rows, kind)).collect()}
+    want = {1: full + "下一行。", 2: full[:-1] + "。\n新的一行", 3: "a" * 20 + " " + "b" * 20, 4: "左边 右边", 5: "字", 7: "1.《题", 8: full + "\n1. 列表项"}
+    assert {k: r["text"] for k, r in got.items()} == want
+    assert tuple(got[4]["last_row_bbox"]) == (0.0, 0.0, 56.0, 12.0) and tuple(got[1]["last_row_bbox"]) == (0.0, 14.0, 32.0, 26.0)
+
+
+def test_recognised_pages(spark):
+    lines, regions = [], []
+    for k, (x, y, kind) in enumerate([(0.0, 0.0, "text"), (540.0, 0.0, "text"), (0.0, 100.0, "text"), (540.0, 100.0, "image"), (0.0, 200.0, "text")]):
+        regions.append((1, k, (x, y, x + 460.0, y + 80.0), kind, 1000.0))
+        lines += [(1, 10 * k + j, (x + 5, y + 20 * j, x + 470, y + 20 * j + 15), "字" * (1 if k == 4 else 30) + str(k), 0.2 if k == 4 else 0.9) for j in range(1 if k == 4 else 2)]
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    out = pages.recognised(spark.createDataFrame(lines, f"page int, line int, bbox {box}, text string, score double"), spark.createDataFrame(regions, f"page int, region int, box {box}, label string, width double"), ["page"]).orderBy("place").collect()
+    assert [(r["region"], r["column"]) for r in out] == [(0, "left"), (2, "left"), (1, "right")] and out[0]["text"] == "\n".join(["字" * 30 + "0"] * 2)
+
+
+def test_alarm_and_escapes(spark):
+    rows = [(1, 0, 0, 2), (2, None, None, 0), (3, 4, 1, 2)]
+    base = spark.createDataFrame(rows, "record_id long, total_issues long, high_priority_count long, warnings int").withColumns({c: F.lit(0) for c in ("count_confirmed", "count_doubtful", "count_quotation", "count_optional")})
+    got = {r["record_id"]: r for r in metrics.summaries(base).collect()}
+    assert got[1]["alarm"] and not got[2]["alarm"] and not got[3]["alarm"] and "**" not in got[3]["summary"] and " 4 " in got[3]["summary"]
+    import html
+
+    text = "<a href=\"x\">&'"
+    assert spark.createDataFrame([(text,)], "t string").select(T.html_escaped("t")).first()[0] == html.escape(text)
+
+
+def test_starts(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 63, 64, 65, 1000)]
+    for r in spark.createDataFrame(rows, "n array<int>").select("n", T.starts(F.col("n")).alias("s")).collect():
+        assert r["s"] == [sum(r["n"][:i]) for i in range(len(r["n"]))]
+
+
+def test_text_dump(spark, tmp_path):
+    rows = [(1, i, "p1", t) for i, t in enumerate(["a'b", 'a"b', "x\ny\t\\", "中\u3000\x01", ""])]
+    got = metrics.text_dump(spark.createDataFrame(rows, "doc_id long, block_index int, source_location string, text string"))
+    assert [r["line"] for r in got.sort("block_index").collect()] == [f"{p!r}\t{t!r}" for _, _, p, t in rows]
+    metrics.findings_json(spark.createDataFrame([(2, "b"), (1, "a")], "ord int, original_text string"), str(tmp_path / "f"))
+    assert [r["original_text"] for r in spark.read.json(str(tmp_path / "f")).sort("ord").collect()] == ["a", "b"]
