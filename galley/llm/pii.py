@@ -122,7 +122,8 @@ def spans_of(text: Column, no: int) -> Column:
     fixed = PROPOSED + CHECKED * (kind.checked or no < len(BASE))
 
     def scored(s: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(s.start - BEFORE, F.lit(0)) + 1, s.end - s.start + BEFORE + AFTER))
+        begin = F.greatest(s.start - BEFORE, F.lit(0))
+        near = F.lower(F.substring(text, begin + 1, s.end + AFTER - begin))
         return F.struct(F.lit(no).alias("k"), s.start.alias("start"), s.end.alias("end"), (F.lit(fixed) + F.when(near.rlike(kind.words), CONTEXT).otherwise(0.0)).alias("score"))
 
     def placed(found: Column, pieces: Column) -> Column:

@@ -5,7 +5,7 @@ r"""SimHash near-dedup with pivot distance tables.
 2. Equal fingerprints are joined by a partial aggregation, so copies cost one row.
 3. Distinct fingerprints that can be near meet in buckets. `exact_keys` is lossless for a radius of 3:
    of four 16-bit blocks one is equal, and of four 12-bit blocks of the other 48 bits one is equal, so
-   16 keys of 28 bits suffice.
+   16 keys of 28 bits suffice. Large buckets are keyed once more, by four quarters of the last 36 bits.
 4. In a bucket each fingerprint has a table of its Hamming distances to PIVOTS, rows of the 64-bit
    Walsh-Hadamard code, which lie 32 bits apart. By the triangle inequality two fingerprints within r
    differ by at most r in every coordinate; pairs that differ by more are discarded, survivors are
@@ -103,6 +103,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3, parts: int = 1, once: bool =
     return rows.mapInArrow(run, "row_id long, doc_id long, fp array<long>")
 
 
+def masks() -> list[tuple[int, int, list[int]]]:
+    """For each of the 16 keys the number of its first bit block and sub-block, and the masks of the four quarters of the
+    36 bits that it leaves out."""
+    out = []
+    for i in range(4):
+        rest = [b for b in range(64) if b // 16 != i]
+        for j in range(4):
+            left = rest[: 12 * j] + rest[12 * j + 12 :]
+            out.append((i, j, [sum(1 << b for b in left[9 * q : 9 * q + 9]) for q in range(4)]))
+    return out
+
+
 def exact_keys(fp: np.ndarray) -> list[np.ndarray]:
     """16 bucket keys for each one-part fingerprint; any two within 3 bits share one at least."""
     x, out = fp[:, 0].view(np.uint64), []
@@ -186,15 +198,16 @@ def by_group(done):
     return run
 
 
-def bucket_links(nodes: DataFrame, keys, radius: int) -> DataFrame:
-    """Edges (u, v) of node ids that connect each bucket's components. nodes: node long, fp array<long>, distinct
-    fingerprints."""
+def bucket_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """Edges (u, v) of node ids that connect what lies within radius, 3 bits at most. nodes: node long, fp array<long>,
+    distinct fingerprints. Buckets of more than BLOCK are keyed again by quarters of the bits left, of which one is equal
+    too; what is still larger is dealt out as pairs of blocks."""
     parts = shuffle_parts(nodes.sparkSession)
 
     def keyed(batches):
         for b in batches:
             fp = np.stack(b.column("fp").to_numpy(zero_copy_only=False)) if len(b) else np.zeros((0, 1), np.int64)
-            for k in keys(fp):
+            for k in exact_keys(fp):
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b.column("node")], ["key", "node"])
 
     def done(group: pd.DataFrame):
@@ -203,12 +216,24 @@ def bucket_links(nodes: DataFrame, keys, radius: int) -> DataFrame:
         return pd.DataFrame({"u": ids[[a for a, _ in got]], "v": ids[[b for _, b in got]]}) if got else None
 
     run = by_group(done)
-    rows = written(nodes.mapInArrow(keyed, "key long, node long"), "keyed")
-    shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    met = written(rows.join(shared, "key").join(nodes, "node"), "met")  # fingerprints travel only with keys that are shared
-    small = met.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("pair"), F.lit(0).alias("side"), "node", "fp")
-    edges = small.repartition(parts, "key").sortWithinPartitions("key", "node").mapInPandas(run, "u long, v long")
-    wide = met.filter(F.col("n") > BLOCK)
+    linked = lambda df: df.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "node").mapInPandas(run, "u long, v long")
+    whole = lambda df: df.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("pair"), F.lit(0).alias("side"), "node", "fp")
+
+    def met(rows: DataFrame) -> DataFrame:
+        """rows (key, node) with n, the size of their bucket, and fp, which travels only with keys that are shared."""
+        shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+        return written(rows.join(shared, "key").join(nodes, "node"), "met")
+
+    first = met(written(nodes.mapInArrow(keyed, "key long, node long"), "keyed"))
+    edges, wide = linked(whole(first)), first.filter(F.col("n") > BLOCK)
+    if wide.isEmpty():
+        return edges
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    table = F.array(*(signed(m) for _, _, quarters in masks() for m in quarters))
+    quarter = wide.select("key", "node", F.col("fp")[0].alias("x"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q"))
+    mask = F.get(table, (F.shiftright("key", 28) * 4 + F.col("q")).cast("int"))
+    second = met(written(quarter.select(F.xxhash64("key", "q", F.col("x").bitwiseAND(mask)).alias("key"), "node"), "quarters"))
+    edges, wide = edges.union(linked(whole(second))), second.filter(F.col("n") > BLOCK)
     if wide.isEmpty():
         return edges
     # Block b of m meets every block: (b, c) for c >= b as the left side, (a, b) for a < b as the right one.
@@ -216,8 +241,7 @@ def bucket_links(nodes: DataFrame, keys, radius: int) -> DataFrame:
     block = F.pmod(F.xxhash64("node"), m).cast("int")
     dealt = wide.withColumn("m", m).withColumn("b", block).select("key", "node", "fp", "m", "b", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("c"))
     pair = F.least("b", "c") * F.col("m") + F.greatest("b", "c")
-    dealt = dealt.select("key", pair.alias("pair"), (F.col("b") > F.col("c")).cast("int").alias("side"), "node", "fp")
-    return edges.union(dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "node").mapInPandas(run, "u long, v long"))
+    return edges.union(linked(dealt.select("key", pair.alias("pair"), (F.col("b") > F.col("c")).cast("int").alias("side"), "node", "fp")))
 
 
 def near_components(rows: DataFrame, edges_of) -> DataFrame:
@@ -365,5 +389,5 @@ def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataF
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(fingerprints(documents(spark, sf_dir)), "fingerprints")
-    out = near_components(rows, lambda nodes: bucket_links(nodes, exact_keys, 3))
+    out = near_components(rows, bucket_links)
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")

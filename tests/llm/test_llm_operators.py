@@ -1,6 +1,8 @@
 """The operators' own interfaces: models, indexes, masks, parts that queries do not show."""
 
+import collections
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -133,7 +135,7 @@ def test_near_pairs_are_all_linked(spark, monkeypatch, block):
     ball = {0x1234567890ABCDEF ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(120)}
     fps = np.array(sorted(ball | {int(x) for x in rng.integers(0, 2**63, 200)}), np.uint64)
     nodes = written(spark.createDataFrame([(i, [int(x)]) for i, x in enumerate(fps.view(np.int64))], "node long, fp array<long>"), "n")
-    got = {r["node"]: r["root"] for r in components.components(simhash.bucket_links(nodes, simhash.exact_keys, 3)).collect()}
+    got = {r["node"]: r["root"] for r in components.components(simhash.bucket_links(nodes)).collect()}
     up = list(range(len(fps)))
 
     def top(x):
@@ -147,6 +149,18 @@ def test_near_pairs_are_all_linked(spark, monkeypatch, block):
     assert [got.get(i, i) for i in range(len(fps))] == [top(i) for i in range(len(fps))]
 
 
+def test_keys_are_lossless():
+    """Any two fingerprints within 3 bits share a key and, of it, a quarter."""
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        a = int(rng.integers(0, 2**63)) * 2 + 1
+        b = a ^ sum(1 << int(x) for x in rng.choice(64, 3, replace=False))
+        keys = [simhash.exact_keys(np.array([[x]], np.uint64)) for x in (a, b)]
+        same = [k for k in range(16) if keys[0][k][0] == keys[1][k][0]]
+        assert same and all(any((a ^ b) & m == 0 for m in simhash.masks()[k][2]) for k in same)
+        assert all(sum(m.bit_count() for m in q) == 36 for _, _, q in simhash.masks())
+
+
 def test_pivots():
     d = np.bitwise_count(simhash.PIVOTS[:, None] ^ simhash.PIVOTS)
     assert set(d[~np.eye(len(d), dtype=bool)].tolist()) == {32}
@@ -273,6 +287,47 @@ def test_sequences_hold_the_ids(spark):
     assert sum(len(r["ids"]) for r in got) == 4 * sum(r["length"] for r in packed.collect())
 
 
+def accepted_spans(text):
+    """Spans of the kinds beyond the base, one match at a time."""
+    import regex
+
+    def moved(c):
+        digits = "".join(str(int(x, 36)) for x in c[4:] + c[:4])
+        return int(digits) % 97 == 1
+
+    def luhn(c):
+        return sum(v - 9 * (v > 9) for v in (int(x) * (1 + i % 2) for i, x in enumerate(reversed(c)))) % 10 == 0
+
+    out = []
+    for kind in pii.KINDS[4:]:
+        for m in regex.finditer(kind.pattern, text or ""):
+            bare = m[0].replace(" ", "").replace("-", "")
+            if kind.name == "iban" and not (15 <= len(bare) <= 34 and moved(bare)) or kind.name == "short_card" and not luhn(bare):
+                continue
+            near = text[max(0, m.start() - pii.BEFORE) : m.end() + pii.AFTER].lower()
+            score = pii.PROPOSED + pii.CHECKED * kind.checked + pii.CONTEXT * bool(regex.search(kind.words, near))
+            if score >= pii.ACCEPT:
+                out.append((kind.name, m.start(), m.end()))
+    return sorted(out)
+
+
+def test_method_spans_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(17)
+    parts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE88370400440532013000", "378282246310005", "3782-822463-10005", "3782-822463-10006", "123-45-6789", "900-45-6789", "(212) 555-0188", "212.555.0188", "0123456789abcdef" * 2, "ABCDEF0123456789" * 3, "a" * 31]
+    parts += ["ssn", "iban", "token:", "phone", "amex", "Tax ID", "é\U0001f600", "and so on and so forth and more of it", ".", ", ", "\n", "x"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.choice((2, 6, 40)))) for _ in range(400)]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = 0
+    for r in pii.with_spans(d).select("doc_id", "pii_spans").collect():
+        got = sorted((pii.KINDS[s["k"]].name, s["start"], s["end"]) for s in r["pii_spans"] if s["k"] >= len(pii.BASE))
+        assert got == accepted_spans(texts[r["doc_id"]])
+        found += len(got)
+    assert found > 500
+
+
 def test_masks(spark):
     rows = [(1, "write a@b.org or +1 (800) 555-1234.", "k"), (2, None, None), (3, "nothing", None)]
     got = {r["doc_id"]: r["text"] for r in pii.mask_pii(spark.createDataFrame(rows, "doc_id long, text string, k string")).collect()}
@@ -505,8 +560,6 @@ def test_junk_letters_go(spark):
 
 def test_language_by_brute_force(spark):
     """Prototypes and cosines from plain sums of gram vectors."""
-    import re
-
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()
 
     def vector(text):
@@ -555,6 +608,67 @@ def test_merges_against_brute_force():
             assert m.merge(list(parts)) == want and m.merge_long(list(parts)) == want
 
 
+def test_scores_by_brute_force(spark):
+    """The learned model's probabilities of texts, class by class and word by word."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(80).collect()
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    texts[min(texts)] += " neverseen neverseen otherword"
+    d = written(spark.createDataFrame([(i, t, i % 10 == 0) for i, t in texts.items()], "doc_id long, text string, held_out boolean"), "t")
+    got = {r["doc_id"]: r["score"] for r in hmm.scored(d).collect()}
+    lexicon = hmm.Lexicon(written(hmm.counted(d.filter("NOT held_out")), "vocab"))
+    model = hmm.trained(written(hmm.encoded(d, lexicon), "rows"), lexicon)
+    words = {i: [*hmm.words_of(t), hmm.END] for i, t in texts.items()}
+    count = collections.Counter(w for i in texts if i % 10 for w in words[i])
+    ranked = sorted((w for w in count if w != hmm.END), key=lambda w: (-count[w], w))
+    alone = {hmm.END: 0} | {w: k + 1 for k, w in enumerate(ranked[: hmm.TOP])}
+    kinds = collections.defaultdict(list)
+    for w in ranked[hmm.TOP :]:
+        kinds[hmm.Lexicon.suffix(w)].append(count[w])
+    for i, ws in words.items():
+        want, alpha = 0.0, None
+        for w in ws:
+            z = alone.get(w, hmm.Lexicon.suffix(w))
+            p = (model.start if alpha is None else alpha @ model.move).astype(float) * model.emit[:, z]
+            want += np.log10(p.sum())
+            alpha = p / p.sum()
+            if w not in alone:
+                size = kinds.get(z, [])
+                want += np.log10((count[w] + hmm.PSEUDO) / (sum(size) + hmm.PSEUDO * (len(size) + 1)))
+        assert got[i] == pytest.approx(want, rel=1e-3)
+
+
+def test_pipeline_by_brute_force(spark):
+    """The documents that come through, by the rules of each stage applied one pair at a time."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    kept = {i: t for i, t in docs.items() if any(c.isalpha() for c in t)}
+    by = collections.defaultdict(list)
+    for i, t in kept.items():
+        by["".join(c for c in t if c not in " \t\n\x0b\x0c\r")].append((-len(t), i))
+    kept = {i: kept[i] for i in (min(g)[1] for g in by.values())}
+    small = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t) for i, t in kept.items()}
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0d]+", t) if w]
+    sets = {i: {tuple(split(t)[k : k + 5]) for k in range(max(1, len(split(t)) - 4))} for i, t in small.items()}
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            up[max(top(a), top(b))] = min(top(a), top(b))
+    want = {i for i in sets if top(i) == i}
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert {r["doc_id"] for r in out} == want and len(want) < len(docs)
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in b) <= 2048 for b in bins.values())
+    assert len(bins) <= -(-sum(r["length"] for r in out) // 2048) + 1
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
