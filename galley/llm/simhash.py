@@ -14,8 +14,10 @@ r"""SimHash near-dedup with pivot distance tables.
    fingerprints is dealt out as pairs of blocks, so that no task holds more than two blocks of it.
 5. The links of all buckets are joined by distributed connected components.
 
-`drop_near` needs a similarity of 0.8, for which fingerprints are too coarse: MinHash bands over the very shingles
-that are judged propose pairs there, and the exact similarity of all that meet decides (see `similar_links`).
+`drop_near` fingerprints five-word shingles and takes the same links as proposals, but judges by the exact similarity of
+the shingle sets. Fingerprints alone are too coarse for a similarity of 0.8: there 64 bits differ in ten places on
+average, far beyond any radius that keys or pivots can tell from chance. So MinHash bands over the very shingles that
+are judged propose what fingerprints miss, and all that meet in a band are compared (see `similar_links`).
 
 Defined results: null and empty texts have fingerprint zero, which links like any other, and in `drop_near` are copies
 of each other; texts of any length are read whole, one of fewer words than a shingle is one shingle; repeated rows
@@ -222,7 +224,9 @@ def bucket_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     def met(rows: DataFrame) -> DataFrame:
         """rows (key, node) with n, the size of their bucket, and fp, which travels only with keys that are shared."""
         shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-        return written(rows.join(shared, "key").join(nodes, "node"), "met")
+        out = written(rows.join(shared, "key").join(nodes, "node"), "met")
+        discard(rows, shared)
+        return out
 
     first = met(written(nodes.mapInArrow(keyed, "key long, node long"), "keyed"))
     edges, wide = linked(whole(first)), first.filter(F.col("n") > BLOCK)
@@ -270,16 +274,18 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """row_id, doc_id, fp (two longs, a digest of the set of shingles) and keys of its bands, from row_id, doc_id, text."""
+    """row_id, doc_id, fp (two longs, a digest of the set of shingles), sim (its fingerprint) and keys of its bands, from
+    row_id, doc_id, text."""
 
     def run(batches):
         for b in batches:
             sets = [shingle_hashes(t.as_py(), words, True) for t in b.column("text")]
             fp = pa.array([np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64) for s in sets], pa.list_(pa.int64()))
+            sim = pa.array([fingerprint(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), fp, keys], ["row_id", "doc_id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), fp, sim, keys], ["row_id", "doc_id", "fp", "sim", "keys"])
 
-    return docs.mapInArrow(run, "row_id long, doc_id long, fp array<long>, keys array<long>")
+    return docs.mapInArrow(run, "row_id long, doc_id long, fp array<long>, sim array<long>, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, of: DataFrame, words: int) -> DataFrame:
@@ -330,20 +336,26 @@ def set_links(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, simila
 
 
 def similar_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Edges (u, v) that connect what is similar among the nodes that share a band's key.
+    """Edges (u, v) that connect what is similar among the nodes whose fingerprints link or that share a band's key.
 
-    First each bucket's least node is compared with the others. What these links leave apart in a bucket is compared
-    in full, by blocks: all nodes with those outside the bucket's largest component. Of buckets with the same nodes
-    one is enough. So no pair that shares a key is left out unless its ends are connected.
+    First the links of fingerprints are judged, and each bucket's least node is compared with the others. What these
+    links leave apart in a bucket is compared in full, by blocks: all nodes with those outside the bucket's largest
+    component. Of buckets with the same nodes one is enough. So no pair that shares a key is left out unless its ends
+    are connected.
     """
-    keys = written(rows.join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "keys"), "keys")
+    keys = written(rows.join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "sim", "keys"), "keys")
+    prints = written(keys.groupBy("sim").agg(F.min("node").alias("node")).select("node", F.col("sim").alias("fp")), "prints")
+    alike = keys.select("node", "sim").join(prints.select(F.col("node").alias("u"), F.col("fp").alias("sim")).hint("merge"), "sim").filter("node <> u").select("u", F.col("node").alias("v"))
+    proposed = written(bucket_links(prints).union(alike), "proposed")
     each = keys.select("node", F.explode("keys").alias("key"))
     shared = written(each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1").drop("n"), "shared")
     met = written(each.join(shared, "key"), "met")
-    discard(keys, shared)
-    sets = written(shingle_sets(docs, met.select("node").distinct(), words), "sets")
-    star = met.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    first = written(verified(star, sets, similarity), "first")
+    discard(keys, prints, shared)
+    ends = met.select("node").union(proposed.select("u")).union(proposed.select("v")).distinct()
+    sets = written(shingle_sets(docs, ends, words), "sets")
+    star = met.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    pairs = proposed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    first = written(verified(star.union(pairs).distinct(), sets, similarity), "first")
     state = met.filter("node <> hub").join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     state = written(state, "state")
     discard(met)
@@ -377,12 +389,13 @@ def similar_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, similarity
 def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """docs with one document of each group of near copies: similarity or more over shingles of words words.
 
-    Documents of equal sets of shingles are one node. Nodes that share a MinHash band's key are compared exactly.
+    Documents of equal sets of shingles are one node. Nodes whose fingerprints link or that share a MinHash band's key are
+    compared exactly.
     """
     table, row = numbered(docs)
     texts = table.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(signatures(texts, words), "signatures")
-    found = near_components(rows.drop("keys"), lambda nodes: similar_links(nodes, rows, texts, similarity, words))
+    found = near_components(rows.select("row_id", "doc_id", "fp"), lambda nodes: similar_links(nodes, rows, texts, similarity, words))
     kept = found.filter("row_id = keep_row").select(F.col("row_id").alias(row))
     return table.join(kept, row, "left_semi").drop(row)
 
