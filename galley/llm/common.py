@@ -32,11 +32,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/galley-{uuid.uuid4().hex}/{tag}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a cut of lineage that survives lost executors."""
+def written(df: DataFrame, tag: str, plain: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: a cut of lineage that survives lost executors. plain:
+    without compression, for ids and hashes, which don't shrink, while the codec's buffers lie outside the heap."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "none" if plain else "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

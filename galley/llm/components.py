@@ -9,11 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard
+from .common import written as stored
 
 MAX_ROUNDS = 60
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    return stored(df, tag, plain=True)
+
+
 def _joined(rows: DataFrame, least: DataFrame) -> DataFrame:
     """rows with their node's m. least is written first: with an exchange of its own on either side, Spark can split
     the partition of a node that has a large share of all edges."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, spare
+from .common import crc_mod, cut_batches, documents, spare
 
 DIMENSIONS = 1024
 SEED = 20240501
@@ -101,8 +101,8 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def bundle(g: np.ndarray, n: np.ndarray) -> np.ndarray:
     out = np.zeros(DIMENSIONS)
-    for s in range(0, len(g), 4096):
-        out += n[s : s + 4096].astype(np.float32) @ gram_vectors(g[s : s + 4096]).astype(np.float32)
+    for s in range(0, len(g), 1024):
+        out += n[s : s + 1024].astype(np.float32) @ gram_vectors(g[s : s + 1024]).astype(np.float32)
     return out
 
 
@@ -131,9 +131,8 @@ class Profiles:
         def run(frames):
             counts: dict[str, dict[int, int]] = {}
             sums: dict[str, np.ndarray] = {}
-            for pdf in frames:
+            for pdf in cut_batches(frames, 500_000):
                 for lang, texts in pdf.groupby("lang")["text"]:
-                    # counts of one text at a time: add them where the language already has the gram
                     c = counts.setdefault(lang, {})
                     parts = [grams(t) for t in texts]
                     if not parts:
@@ -142,7 +141,7 @@ class Profiles:
                     n = np.bincount(back, np.concatenate([p[1] for p in parts]), len(g)).astype(np.int64)
                     for k, v in zip(g.tolist(), n.tolist(), strict=True):
                         c[k] = c.get(k, 0) + v
-                if sum(map(len, counts.values())) > 200_000:
+                if sum(map(len, counts.values())) > 50_000:
                     flush(counts, sums)
             flush(counts, sums)
             if sums:

@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import discard, documents, numbered, shuffle_parts, written
+from .common import discard, documents, numbered, shuffle_parts
+from .common import written as stored
 from .components import components
 
 SEED = 42
@@ -51,10 +52,14 @@ CHUNK = 1 << 15
 BANDS, BAND_ROWS = 40, 6
 FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Texts of one bucket whose shingles one task compares with each other, or with as many others.
-SET_BLOCK = 1024
+SET_BLOCK = 256
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    return stored(df, tag, plain=True)
+
+
 def shingle_hashes(text: str | None, size: int, once: bool = False) -> np.ndarray:
     """XXH64 of each shingle of size words, space-joined, A-Z lowered; of the whole sequence if it is shorter."""
     words = (text or "").encode().lower().split()

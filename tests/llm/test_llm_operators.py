@@ -217,7 +217,7 @@ def test_block_edits_are_near(spark):
     assert len(got) == 60 and got == similar_groups(texts)
 
 
-@pytest.mark.parametrize("block", [1024, 4])
+@pytest.mark.parametrize("block", [simhash.SET_BLOCK, 4])
 def test_families_joined_by_one_pair(spark, monkeypatch, block):
     """Families of close copies, joined by some pairs at 0.8 or more and not by others, against brute force."""
     monkeypatch.setattr(simhash, "SET_BLOCK", block)
