@@ -495,6 +495,66 @@ def glyph_blocks(spark, sf) -> DataFrame:
     return blocks(spark, sf).select("doc_id", "block_index", chars.alias("c")).select("doc_id", "block_index", lines.alias("lines"))
 
 
+def tasks(spark, sf) -> DataFrame:
+    """Customers as tasks, with as many names as nations and blanks around some."""
+    c = table(spark, sf, "customer")
+    name = F.concat(F.when(F.col("c_custkey") % 2 == 0, " ").otherwise(""), F.lit("task "), F.col("c_nationkey").cast("string"))
+    return c.select(F.col("c_custkey").alias("task_id"), name.alias("name"), pick(K.STATUSES_TASK, F.col("c_custkey")).alias("status"))
+
+
+def open_tasks(spark, sf):
+    return W.open_tasks(tasks(spark, sf)).select("task_id", "status")
+
+
+def task_names_twice(spark, sf):
+    return W.same_names(tasks(spark, sf))
+
+
+def issue_filters(spark, sf):
+    """Pending findings of one layer."""
+    return issues(spark, sf).filter((F.col("layer") == K.LAYERS[1]) & (F.col("status") == K.PENDING)).select("record_id", "issue_id")
+
+
+def fabricated_glyphs(spark, sf):
+    """One glyph for each block; the trace has a mark for every sixth, a thousandth off."""
+    b = boxes(spark, sf).select("doc_id", "page", "ord", F.col("ord").alias("i"), F.substring("text", 1, 1).alias("c"), (F.col("ord") * 8.25).alias("ox"), F.col("bbox.y0").alias("oy"))
+    trace = b.filter("ord % 6 = 0").select("doc_id", "page", (F.col("ox") + 0.001).alias("ox"), "oy", F.lit("\ufffd").alias("c"))
+    return repair.fabricated(b, trace, ["doc_id", "page"]).select("doc_id", "page", "ord")
+
+
+def same_rows(spark, sf):
+    """Whether each box stands in one row with the next of its page."""
+    b = boxes(spark, sf)
+    after = b.select("doc_id", "page", (F.col("ord") - 1).alias("ord"), F.col("bbox").alias("next"))
+    return b.join(after, ["doc_id", "page", "ord"]).select("doc_id", "ord", layout.same_row("bbox", "next").alias("same"))
+
+
+def block_location(spark, sf):
+    b = boxes(spark, sf).withColumn("seams", F.array(F.lit(500.0)))
+    r = layout.reading_order(b, ["doc_id", "page"])
+    mode = F.when(F.col("page") % 2 == 0, "single").otherwise("double")
+    return r.select("doc_id", "ord", layout.location(F.col("page"), F.col("column"), mode).alias("source_location"))
+
+
+LABELS = ("doc_title", "text", "table", "image", "footnote", "header", "no such label", "abstract", "figure_title", "formula")
+
+
+def label_types(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", pick(LABELS, F.coalesce("doc_id", F.lit(0))).alias("label"))
+    return d.select("doc_id", layout.label_kind("label").alias("block_type"))
+
+
+def unsure_scraps(spark, sf):
+    """Blocks as recognised texts that are surer the later they stand."""
+    b = blocks(spark, sf).withColumn("confidence", (F.col("block_index") % 10) / 10)
+    return b.filter(layout.sure_enough()).select("doc_id", "block_index")
+
+
+def repair_report(spark, sf):
+    lines = blocks(spark, sf).select(((F.col("doc_id") + F.col("block_index")) % 11 / 10).alias("rate"))
+    return metrics.repair_rates(lines)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -507,5 +567,7 @@ QUERIES = {
         region_assignment, noise_metrics, noise_delta, file_fingerprint_md5, format_dispatch, variant_fold, nfkc_noop, review_chain,
         doc_diff, column_boundaries, wrapped_merge, glyph_lines, llm_map_fake, reason_cleanup, finding_counts, text_source_rollup,
         result_summary, issue_cards, dangling_tasks, export_file_name, zone_of_block, text_dump, glyph_repair, native_blocks,
+        open_tasks, task_names_twice, issue_filters, fabricated_glyphs, same_rows, block_location, label_types, unsure_scraps,
+        repair_report,
     )
 }

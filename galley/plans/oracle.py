@@ -313,4 +313,23 @@ FROM (SELECT *, l_partkey + l_linenumber AS n FROM lineitem)""",
     "dangling_tasks": "SELECT o_orderkey AS record_id, o_custkey AS task_id FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 7)",
     "export_file_name": "SELECT o_orderkey AS record_id, strftime(o_orderdate::TIMESTAMP, '%Y%m%d%H%M%S') || '_' || CASE WHEN o_orderkey % 9 > 0 THEN 'a_b_' || o_orderkey ELSE '未命名文档' END || '_校对清单.xlsx' AS file_name FROM orders",
     "zone_of_block": f"WITH {BOXES} SELECT doc_id, page, ord, CASE WHEN y0 + 50 <= {K.ZONE_RATIO} * 800 THEN 'top' WHEN y0 >= (1 - {K.ZONE_RATIO}) * 800 THEN 'bottom' ELSE 'body' END AS zone FROM bx",
+    "open_tasks": f"SELECT c_custkey AS task_id, {picked(K.STATUSES_TASK, 'c_custkey')} AS status FROM customer WHERE c_custkey % 3 <> 2",
+    "task_names_twice": "SELECT 'task ' || c_nationkey AS name, count(*) AS n FROM customer WHERE c_custkey % 3 <> 2 GROUP BY c_nationkey HAVING count(*) > 1",
+    "issue_filters": f"SELECT l_orderkey AS record_id, l_orderkey * 10 + l_linenumber AS issue_id FROM lineitem WHERE l_suppkey % {len(K.LAYERS)} = 1 AND l_returnflag NOT IN ('A', 'R')",
+    "fabricated_glyphs": f"WITH {BOXES} SELECT doc_id, page, ord FROM bx WHERE ord % 6 = 0",
+    "same_rows": f"""WITH {BOXES}
+SELECT a.doc_id, a.ord, least(a.y0, b.y0) + 50 - greatest(a.y0, b.y0) >= 25 AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 150 AS same
+FROM bx a JOIN bx b ON a.doc_id = b.doc_id AND a.page = b.page AND b.ord = a.ord + 1""",
+    "block_location": f"""WITH {BOXES}
+SELECT doc_id, ord, '第' || page || '页' || CASE WHEN page % 2 = 0 THEN '' WHEN x1 - x0 > 700 THEN '通栏' WHEN (x0 + x1) / 2 < 500 THEN '左栏' ELSE '右栏' END AS source_location FROM bx""",
+    "label_types": f"SELECT doc_id, CASE WHEN label IN ({texts(K.DROPPED_LABELS)[1:-1]}) THEN NULL " + " ".join(f"WHEN label IN ({texts(v)[1:-1]}) THEN '{k}'" for k, v in K.LABEL_TYPES.items()) + f" ELSE 'other' END AS block_type FROM (SELECT doc_id, {picked(C.LABELS, 'coalesce(doc_id, 0)')} AS label FROM documents)",
+    "unsure_scraps": f"WITH {BLOCKS} SELECT doc_id, block_index FROM b WHERE NOT (block_index % 10 / 10 < {K.OCR_DROP_CONFIDENCE} AND length(text) < {K.OCR_DROP_CHARS})",
+    "repair_report": f"WITH {BLOCKS}, r AS (SELECT (doc_id + block_index) % 11 AS k FROM b) SELECT round(k / 10, 1) AS rate, count(*) AS lines, " + ", ".join(f"CASE WHEN k >= {g // 10} THEN count(*) ELSE 0 END AS kept_{g}" for g in (0, 50, 70, 80, 90, 100)) + " FROM r GROUP BY k",
+    "llm_map_fake": f"""WITH RECURSIVE {CHUNKS},
+px AS (SELECT g.doc_id, g.chunk, g.i, g.block_index, u.piece, lag(g.block_index) OVER (PARTITION BY g.doc_id, g.chunk ORDER BY g.i) AS before FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i),
+py AS (SELECT doc_id, chunk, string_agg(CASE WHEN before <> block_index THEN chr(10) || piece ELSE piece END, '' ORDER BY i) AS body FROM px GROUP BY doc_id, chunk),
+pz AS (SELECT e.doc_id, e.chunk_index, e.char_count::BIGINT AS n, {strip("py.body")} AS body FROM e JOIN py ON py.doc_id = e.doc_id AND py.chunk = e.chunk_index)
+SELECT doc_id, chunk_index, CASE WHEN n % 17 = 0 THEN -1 ELSE 0 END AS item, CASE WHEN n % 17 > 0 THEN body[1:20] END AS original_text, CASE WHEN n % 17 > 0 THEN {picked(C.TYPES, "n")} END AS issue_type,
+  CASE WHEN n % 17 = 0 THEN 'ReplyError: Expecting value: line 1 column 1 (char 0)' END AS error
+FROM pz""",
 }

@@ -54,6 +54,16 @@ def dangling(records: DataFrame, tasks: DataFrame) -> DataFrame:
     return records.filter("task_id IS NOT NULL").join(tasks.select("task_id"), "task_id", "left_anti")
 
 
+def open_tasks(tasks: DataFrame) -> DataFrame:
+    """Tasks that are not closed."""
+    return tasks.filter(F.col("status") != K.STATUSES_TASK[2])
+
+
+def same_names(tasks: DataFrame) -> DataFrame:
+    """name, n: names, without white space around them, that several open tasks have."""
+    return open_tasks(tasks).groupBy(F.trim("name").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def upgraded(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Tables of older shapes brought to the present ones: renamed notes, added columns, new layer names, a dropped page
     column, and records without a task put into one for old records. Running it again changes nothing."""
@@ -157,11 +167,11 @@ class Workspace:
         """Newest first; closed tasks only if asked for."""
         rows = self.read("tasks")
         rows = rows.filter(F.col("status") == status) if status else rows
-        rows = rows if closed or status else rows.filter(F.col("status") != K.STATUSES_TASK[2])
+        rows = rows if closed or status else open_tasks(rows)
         return rows.orderBy(F.col("created_at").desc(), F.col("task_id").desc())
 
     def duplicate_names(self, name: str) -> DataFrame:
-        return self.read("tasks").filter((F.trim("name") == name.strip()) & (F.col("status") != K.STATUSES_TASK[2]))
+        return open_tasks(self.read("tasks")).filter(F.trim("name") == name.strip())
 
     def issues(self, record_id: int, layer: str | None = None) -> DataFrame:
         rows = self.read("issues").filter(F.col("record_id") == record_id)
