@@ -6,6 +6,7 @@ Its regular expressions have no look-around, so cuts after a mark put a separato
 from __future__ import annotations
 
 from galley import constants as K
+from galley.operators.review_map import RETRY_HINT
 from galley.plans import catalog as C
 
 SPACE = r"[ \t\n\x0b\x0c\r]"
@@ -328,8 +329,11 @@ SELECT doc_id, ord, '第' || page || '页' || CASE WHEN page % 2 = 0 THEN '' WHE
     "llm_map_fake": f"""WITH RECURSIVE {CHUNKS},
 px AS (SELECT g.doc_id, g.chunk, g.i, g.block_index, u.piece, lag(g.block_index) OVER (PARTITION BY g.doc_id, g.chunk ORDER BY g.i) AS before FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i),
 py AS (SELECT doc_id, chunk, string_agg(CASE WHEN before <> block_index THEN chr(10) || piece ELSE piece END, '' ORDER BY i) AS body FROM px GROUP BY doc_id, chunk),
-pz AS (SELECT e.doc_id, e.chunk_index, e.char_count::BIGINT AS n, {strip("py.body")} AS body FROM e JOIN py ON py.doc_id = e.doc_id AND py.chunk = e.chunk_index)
-SELECT doc_id, chunk_index, CASE WHEN n % 17 = 0 THEN -1 ELSE 0 END AS item, CASE WHEN n % 17 > 0 THEN body[1:20] END AS original_text, CASE WHEN n % 17 > 0 THEN {picked(C.TYPES, "n")} END AS issue_type,
+pz AS (
+  SELECT e.doc_id, e.chunk_index, e.char_count::BIGINT + CASE WHEN e.char_count % 17 = 0 THEN {len(RETRY_HINT)} ELSE 0 END AS n,
+    py.body || CASE WHEN e.char_count % 17 = 0 THEN '{RETRY_HINT}' ELSE '' END AS body
+  FROM e JOIN py ON py.doc_id = e.doc_id AND py.chunk = e.chunk_index)
+SELECT doc_id, chunk_index, CASE WHEN n % 17 = 0 THEN -1 ELSE 0 END AS item, CASE WHEN n % 17 > 0 THEN {strip("body")}[1:20] END AS original_text, CASE WHEN n % 17 > 0 THEN {picked(C.TYPES, "n")} END AS issue_type,
   CASE WHEN n % 17 = 0 THEN 'ReplyError: Expecting value: line 1 column 1 (char 0)' END AS error
 FROM pz""",
 }
