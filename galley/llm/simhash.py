@@ -253,12 +253,14 @@ def bucket_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     return edges.union(linked(dealt.select("key", pair.alias("pair"), (F.col("b") > F.col("c")).cast("int").alias("side"), "node", "fp")))
 
 
-def near_components(rows: DataFrame, edges_of) -> DataFrame:
+def near_components(rows: DataFrame, edges_of, spent: list | None = None) -> DataFrame:
     """rows (row_id, doc_id, fp) with component_id, the smallest doc_id reachable, and keep_row, that document's
-    first row. rows must be a table; edges_of gives the edges of nodes (node, fp), a row_id for each fingerprint."""
+    first row. rows must be a table; edges_of gives the edges of nodes (node, fp), a row_id for each fingerprint; spent: a
+    list to which it adds tables that nobody needs after its edges."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id"))
     nodes = written(rows.groupBy("fp").agg(first.alias("b")).select(F.col("b.row_id").alias("node"), F.col("b").alias("best"), "fp"), "nodes")
     member = components(edges_of(nodes.select("node", "fp")))
+    discard(*(spent or ()))
     linked = written(nodes.join(member, "node").select("node", "root", "best"), "linked")
     least = linked.groupBy("root").agg(F.min("best").alias("least"))
     better = written(linked.join(least, "root").select("node", "least"), "better")
@@ -340,13 +342,13 @@ def set_links(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, simila
     return out
 
 
-def similar_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+def similar_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, words: int, spent: list) -> DataFrame:
     """Edges (u, v) that connect what is similar among the nodes whose fingerprints link or that share a band's key.
 
     First the links of fingerprints are judged, and each bucket's least node is compared with the others. What these
     links leave apart in a bucket is compared in full, by blocks: all nodes with those outside the bucket's largest
     component. Of buckets with the same nodes one is enough. So no pair that shares a key is left out unless its ends
-    are connected.
+    are connected. spent gets the tables that can go once the edges have been read.
     """
     keys = written(rows.join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "sim", "keys"), "keys")
     prints = written(keys.groupBy("sim").agg(F.min("node").alias("node")).select("node", F.col("sim").alias("fp")), "prints")
@@ -361,9 +363,11 @@ def similar_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, similarity
     star = met.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
     pairs = proposed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     first = written(verified(star.union(pairs).distinct(), sets, similarity), "first")
+    spent += [proposed, sets, first]
     state = met.filter("node <> hub").join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     state = written(state, "state")
     discard(met)
+    spent.append(state)
     mixed_ids = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     roots = state.groupBy("key", "root").agg(F.count("*").alias("n"), *mixed_ids)
     top = F.max(F.struct("n", "root")).alias("top")
@@ -381,6 +385,7 @@ def similar_links(nodes: DataFrame, rows: DataFrame, docs: DataFrame, similarity
     left = left.withColumn("c", F.explode(F.sequence(F.when(wide & main, F.col("m")).otherwise(0), end)))
     pair = F.least("b", "c") * (end + 1) + F.greatest("b", "c")
     dealt = written(left.select("key", pair.alias("pair"), (F.col("b") > F.col("c")).cast("int").alias("side"), "node", "root"), "dealt")
+    spent += [open_ones, dealt]
 
     def done(group: pd.DataFrame):
         got = set_links([s.view(np.uint64) for s in group["s"]], group["root"].to_numpy(), group["side"].to_numpy(), similarity)
@@ -400,8 +405,10 @@ def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataF
     table, row = numbered(docs)
     texts = table.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(signatures(texts, words), "signatures")
-    found = near_components(rows.select("row_id", "doc_id", "fp"), lambda nodes: similar_links(nodes, rows, texts, similarity, words))
-    kept = found.filter("row_id = keep_row").select(F.col("row_id").alias(row))
+    spent: list[DataFrame] = []
+    found = near_components(rows.select("row_id", "doc_id", "fp"), lambda nodes: similar_links(nodes, rows, texts, similarity, words, spent), spent)
+    kept = written(found.filter("row_id = keep_row").select(F.col("row_id").alias(row)), "kept")
+    discard(rows)
     return table.join(kept, row, "left_semi").drop(row)
 
 
