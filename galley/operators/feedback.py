@@ -16,9 +16,10 @@ RULE = "rule_text string, matched_feedback_ids array<bigint>"
 
 
 def with_source(feedback: DataFrame, records: DataFrame) -> DataFrame:
-    """feedback with source_task_type, newest first; a source that is gone leaves it null."""
+    """feedback with source_task_type; a source that is gone leaves it null. Sort by created_at and feedback_id, both
+    descending, to list it."""
     source = records.select(F.col("record_id").alias("source_record_id"), F.col("task_type").alias("source_task_type"))
-    return feedback.join(source, "source_record_id", "left").orderBy(F.col("created_at").desc(), F.col("feedback_id").desc())
+    return feedback.join(source, "source_record_id", "left")
 
 
 def eligible(rows: DataFrame) -> DataFrame:
