@@ -7,12 +7,14 @@ write the stage's output before using it. Concurrency is the number of partition
 from __future__ import annotations
 
 import json
+import logging
 import re
 import time
 from collections.abc import Callable
 from pathlib import Path
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ FINDING = "doc_id long, chunk_index int, item int, " + ", ".join(f"{f} string" f
 FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.DOTALL)
 RETRY_HINT = "\n\nThe last answer could not be read. Answer with the JSON array alone."
 NO_RULES = "（无）"
+log = logging.getLogger(__name__)
 
 
 class CallError(RuntimeError):
@@ -77,13 +80,14 @@ def retrying(send: Callable[[], tuple[int, dict, str]], retries: int = 3, waits=
         except OSError as e:
             why = str(e)
         else:
-            if status < 400:
+            if status == 200:
                 return body
-            why = f"status {status}"
+            why = f"status {status}: {body[:200]}"
             if status != 429 and status < 500:
                 raise CallError(why)
             asked = headers.get("Retry-After", "") if status == 429 else ""
             wait = float(asked) if asked.replace(".", "", 1).isdigit() else wait
+        log.warning("call %d of %d failed: %s", attempt + 1, retries + 1, why)
         if attempt < retries:
             sleep(wait)
     raise CallError(why)
@@ -98,8 +102,9 @@ def ask(complete: Callable[[str, str], str], system: str, user: str) -> list[dic
     return [x for x in got if valid(x)]
 
 
-def asked(chunks: DataFrame, complete: Callable[[str, str], str], system: str, calls: int = K.MAX_CALLS) -> DataFrame:
-    """One row for each item of each chunk, in order, or one with the error of a chunk that failed."""
+def asked(chunks: DataFrame, complete: Callable[[str, str], str], system: str, calls: int = K.MAX_CALLS, progress: Accumulator | None = None) -> DataFrame:
+    """One row for each item of each chunk, in order, or one with the error of a chunk that failed. progress, an
+    accumulator, grows by one with each chunk asked, failed ones too."""
 
     def run(frames):
         for pdf in frames:
@@ -111,6 +116,8 @@ def asked(chunks: DataFrame, complete: Callable[[str, str], str], system: str, c
                     rows.append((doc, at, -1, *[None] * len(FIELDS), f"{type(e).__name__}: {e}"))
                 else:
                     rows += [(doc, at, i, *(x[f] for f in FIELDS), None) for i, x in enumerate(items)]
+                if progress is not None:
+                    progress.add(1)
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in FINDING.split(", ")])
 
     return chunks.select("doc_id", "chunk_index", "text").repartition(calls).mapInPandas(run, FINDING)

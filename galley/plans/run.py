@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +16,12 @@ from galley.operators import chunking, classify, review_map
 from galley.workspace import Workspace
 
 
-def compute(blocks: DataFrame, complete: Callable[[str, str], str], system: str, path: str, mode: str = K.DEEP, sizes: chunking.Sizes = chunking.Sizes()) -> DataFrame:
+def compute(blocks: DataFrame, complete: Callable[[str, str], str], system: str, path: str, mode: str = K.DEEP, sizes: chunking.Sizes = chunking.Sizes(), progress: Accumulator | None = None) -> DataFrame:
     """Ask the model about all chunks of blocks (doc_id and the columns of a block) and classify what it finds. Answers and
-    findings are written under path; returns the findings."""
+    findings are written under path; returns the findings. progress, an accumulator, counts the chunks asked."""
     spark = blocks.sparkSession
     chunks = chunking.chunks(chunking.gathered(blocks), sizes)
-    review_map.asked(chunks, complete, system).write.mode("overwrite").parquet(f"{path}/answers")
+    review_map.asked(chunks, complete, system, progress=progress).write.mode("overwrite").parquet(f"{path}/answers")
     answers = spark.read.parquet(f"{path}/answers")
     found = review_map.findings(answers, chunks, blocks)
     classify.reviewed(found, blocks, chunking.tails(chunks), mode).write.mode("overwrite").parquet(f"{path}/findings")

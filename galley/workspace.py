@@ -9,12 +9,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from galley import constants as K
 from galley.operators.classify import stats
-from galley.operators.feedback import followup_prompt
+from galley.operators.feedback import followup_prompt, with_source
 from galley.operators.locate import context
 
 TURN = "struct<question:string,answer:string,asked_at:timestamp_ntz>"
@@ -170,6 +170,27 @@ class Workspace:
         rows = rows if closed or status else open_tasks(rows)
         return rows.orderBy(F.col("created_at").desc(), F.col("task_id").desc())
 
+    def _one(self, name: str, ident: int) -> Row | None:
+        return self.read(name).filter(F.col(KEYS[name]) == ident).first()
+
+    def task(self, task_id: int) -> Row | None:
+        """The task, or None."""
+        return self._one("tasks", task_id)
+
+    def entered(self, task_id: int | None) -> Row | None:
+        """The task that work goes on in: None without one, where it is gone, or where it is closed."""
+        task = None if task_id is None else self.task(task_id)
+        return task if task and task["status"] != K.STATUSES_TASK[2] else None
+
+    def issue(self, issue_id: int) -> Row | None:
+        """The issue with all changes, or None."""
+        return self._one("issues", issue_id)
+
+    def feedback(self) -> DataFrame:
+        """Rejections, newest first, with the kind of the record that they come from."""
+        rows = with_source(self.read("feedback"), self.base("records"))
+        return rows.orderBy(F.col("created_at").desc(), F.col("feedback_id").desc())
+
     def duplicate_names(self, name: str) -> DataFrame:
         return open_tasks(self.read("tasks")).filter(F.trim("name") == name.strip())
 

@@ -311,6 +311,7 @@ def test_review_from_run_to_export(spark, tmp_path):
     w.decide(ids[1], K.ACCEPTED, now)
     f = w.read("feedback").collect()
     assert [(x["original_text"], x["reason"], x["source_issue_id"], x["source_record_id"]) for x in f] == [("t0", "no", ids[0], rid)]
+    assert [x["source_task_type"] for x in w.feedback().collect()] == [K.RECORD_STANDARD] and w.issue(ids[0])["status"] == K.REJECTED and w.issue(99) is None
     w.forget(f[0]["feedback_id"])
     assert w.read("feedback").count() == 0 and w.records().first()["rejected_count"] == 1
     said = []
@@ -323,7 +324,8 @@ def test_review_from_run_to_export(spark, tmp_path):
     w.change("tasks", task, status=K.STATUSES_TASK[2])
     with pytest.raises(ValueError, match="open task"):
         w.move(rid, task)
-    assert w.records(other).count() == 1
+    assert w.records(other).count() == 1 and w.task(task)["status"] == K.STATUSES_TASK[2]
+    assert [w.entered(t) and w.entered(t)["task_id"] for t in (task, other, 99, None)] == [None, other, None, None]
     for n in range(K.KEEP_FILES + 2):
         path = export.export_to(w, rid, f"file://{tmp_path}/out", now + dt.timedelta(seconds=n))
     assert path.endswith("20260101120011_稿_1_校对清单.xlsx") and w.records().first()["result_path"] == path
