@@ -409,6 +409,13 @@ def llm_map_fake(spark, sf):
     return review_map.asked(chunk_rows(spark, sf), stand_in, "rules").select("doc_id", "chunk_index", "item", "original_text", "issue_type", "error")
 
 
+def model_findings(spark, sf):
+    """What the stand-in found, with the place of each finding in its document. A real model's answers are written first."""
+    chunks = chunk_rows(spark, sf)
+    found = review_map.findings(review_map.asked(chunks, stand_in, "rules"), chunks, blocks(spark, sf))
+    return found.select("doc_id", "chunk_index", "ord", "original_text", "block_index", "page_location", "located")
+
+
 def stand_in(system: str, user: str) -> str:
     """A reply that quotes the first words of the body, now and then in a fence, and fails for texts of a certain length."""
     body = user.split(K.BODY_MARK)[-1].strip()
@@ -568,6 +575,6 @@ QUERIES = {
         doc_diff, column_boundaries, wrapped_merge, glyph_lines, llm_map_fake, reason_cleanup, finding_counts, text_source_rollup,
         result_summary, issue_cards, dangling_tasks, export_file_name, zone_of_block, text_dump, glyph_repair, native_blocks,
         open_tasks, task_names_twice, issue_filters, fabricated_glyphs, same_rows, block_location, label_types, unsure_scraps,
-        repair_report,
+        repair_report, model_findings,
     )
 }

@@ -196,6 +196,14 @@ bx AS (
     (CASE WHEN block_index % 7 = 3 THEN 50 ELSE 50 + 460 * (i % 2) END)::DOUBLE AS x0, (CASE WHEN block_index % 7 = 3 THEN 950 ELSE 490 + 460 * (i % 2) END)::DOUBLE AS x1,
     ((i * 5) % 12 * 60 + 40)::DOUBLE AS y0 FROM pg)"""
 
+#: What the stand-in for the model is asked: n, the length of the question, and body, with the hint of a second try.
+ANSWERS = f"""px AS (SELECT g.doc_id, g.chunk, g.i, g.block_index, u.piece, lag(g.block_index) OVER (PARTITION BY g.doc_id, g.chunk ORDER BY g.i) AS before FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i),
+py AS (SELECT doc_id, chunk, string_agg(CASE WHEN before <> block_index THEN chr(10) || piece ELSE piece END, '' ORDER BY i) AS body FROM px GROUP BY doc_id, chunk),
+pz AS (
+  SELECT e.doc_id, e.chunk_index, e.char_count::BIGINT + CASE WHEN e.char_count % 17 = 0 THEN {len(RETRY_HINT)} ELSE 0 END AS n,
+    py.body || CASE WHEN e.char_count % 17 = 0 THEN '{RETRY_HINT}' ELSE '' END AS body, py.body AS bare
+  FROM e JOIN py ON py.doc_id = e.doc_id AND py.chunk = e.chunk_index)"""
+
 SQL = {
     "blocks_from_documents": f"WITH {BLOCKS} SELECT doc_id, block_index, text FROM b",
     "context_snippet": f"WITH {BLOCKS} SELECT doc_id, block_index, string_agg(text, chr(10) ORDER BY block_index) OVER (PARTITION BY doc_id ORDER BY block_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS snippet FROM b".replace("string_agg(text, chr(10) ORDER BY block_index)", "string_agg(text, chr(10))"),
@@ -327,13 +335,22 @@ SELECT doc_id, ord, '第' || page || '页' || CASE WHEN page % 2 = 0 THEN '' WHE
     "unsure_scraps": f"WITH {BLOCKS} SELECT doc_id, block_index FROM b WHERE NOT (block_index % 10 / 10 < {K.OCR_DROP_CONFIDENCE} AND length(text) < {K.OCR_DROP_CHARS})",
     "repair_report": f"WITH {BLOCKS}, r AS (SELECT (doc_id + block_index) % 11 AS k FROM b) SELECT round(k / 10, 1) AS rate, count(*) AS lines, " + ", ".join(f"CASE WHEN k >= {g // 10} THEN count(*) ELSE 0 END AS kept_{g}" for g in (0, 50, 70, 80, 90, 100)) + " FROM r GROUP BY k",
     "llm_map_fake": f"""WITH RECURSIVE {CHUNKS},
-px AS (SELECT g.doc_id, g.chunk, g.i, g.block_index, u.piece, lag(g.block_index) OVER (PARTITION BY g.doc_id, g.chunk ORDER BY g.i) AS before FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i),
-py AS (SELECT doc_id, chunk, string_agg(CASE WHEN before <> block_index THEN chr(10) || piece ELSE piece END, '' ORDER BY i) AS body FROM px GROUP BY doc_id, chunk),
-pz AS (
-  SELECT e.doc_id, e.chunk_index, e.char_count::BIGINT + CASE WHEN e.char_count % 17 = 0 THEN {len(RETRY_HINT)} ELSE 0 END AS n,
-    py.body || CASE WHEN e.char_count % 17 = 0 THEN '{RETRY_HINT}' ELSE '' END AS body
-  FROM e JOIN py ON py.doc_id = e.doc_id AND py.chunk = e.chunk_index)
+{ANSWERS}
 SELECT doc_id, chunk_index, CASE WHEN n % 17 = 0 THEN -1 ELSE 0 END AS item, CASE WHEN n % 17 > 0 THEN {strip("body")}[1:20] END AS original_text, CASE WHEN n % 17 > 0 THEN {picked(C.TYPES, "n")} END AS issue_type,
   CASE WHEN n % 17 = 0 THEN 'ReplyError: Expecting value: line 1 column 1 (char 0)' END AS error
 FROM pz""",
+    "model_findings": f"""WITH RECURSIVE {CHUNKS},
+{ANSWERS},
+za AS (SELECT doc_id, chunk_index, {strip("body")}[1:20] AS original_text, bare FROM pz WHERE n % 17 > 0),
+zb AS (SELECT DISTINCT g.doc_id, g.chunk, g.block_index, {no_space("b.text")} AS t FROM g JOIN b ON b.doc_id = g.doc_id AND b.block_index = g.block_index),
+zl AS (SELECT *, lead(t, 1) OVER w AS t2, lead(t, 2) OVER w AS t3 FROM zb WINDOW w AS (PARTITION BY doc_id, chunk ORDER BY block_index)),
+zw AS (
+  SELECT doc_id, chunk, block_index, 1 AS win, t FROM zl UNION ALL SELECT doc_id, chunk, block_index, 2, t || t2 FROM zl WHERE t2 IS NOT NULL
+  UNION ALL SELECT doc_id, chunk, block_index, 3, t || t2 || t3 FROM zl WHERE t3 IS NOT NULL),
+zh AS (
+  SELECT za.doc_id, za.chunk_index, min_by(zw.block_index, zw.win * 1000000000::BIGINT + zw.block_index) AS block_index
+  FROM za JOIN zw ON zw.doc_id = za.doc_id AND zw.chunk = za.chunk_index AND contains(zw.t, {no_space("za.original_text")}) AND contains({no_space("za.bare")}, {no_space("za.original_text")})
+  GROUP BY ALL)
+SELECT za.doc_id, za.chunk_index, za.chunk_index::BIGINT * 1000000 AS ord, za.original_text, zh.block_index, '第' || (zh.block_index + 1) || '段' AS page_location, zh.block_index IS NOT NULL AS located
+FROM za LEFT JOIN zh ON zh.doc_id = za.doc_id AND zh.chunk_index = za.chunk_index""",
 }
