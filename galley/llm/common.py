@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +35,38 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/galley-{uuid.uuid4().hex}/{tag}"
 
 
-def written(df: DataFrame, tag: str, plain: bool = False) -> DataFrame:
+#: Folders that the innermost `scratch` of this thread will delete.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what `written` makes within, but for tables that it is told to keep. What is still to be computed
+    from those tables must be written by then."""
+    made: list[str] = []
+    before = _scratch.set(made)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder and the one around it, which `new_path` gave to it alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, tag: str, plain: bool = False, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a cut of lineage that survives lost executors. plain:
-    without compression, for ids and hashes, which don't shrink, while the codec's buffers lie outside the heap."""
+    without compression, for ids and hashes, which don't shrink, while the codec's buffers lie outside the heap. keep: not
+    deleted with the `scratch` around it."""
     spark = df.sparkSession
     path = new_path(spark, tag)
+    if (made := _scratch.get()) is not None and not keep:
+        made.append(path)
     df.write.option("compression", "none" if plain else "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,8 +75,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete the folders of tables from `written` that nothing will read again."""
     for df in tables:
         for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def spare(df: DataFrame, name: str) -> str:

@@ -10,9 +10,10 @@ are dealt out to SALTS copies, as one host may hold a third of all captures, and
 one per capture by a partial aggregation.
 
 Defined results: a null or unreadable URL has the empty host and no match; a null day matches nothing; of
-entries for one day a `remove` comes last; repeated captures are judged one by one; empty tables give
-empty results; a host beyond the length of a domain name has itself and its parents up to that length; other
-columns of captures are kept, those with the names of results replaced. Captures are numbered in a written table.
+entries for one day a `remove` comes last; an entry without a domain or day never holds, one whose kind is
+not `allow` blocks; repeated captures are judged one by one; empty tables give empty results; a host beyond
+the length of a domain name has itself and its parents up to that length; other columns of captures are
+kept, those with the names of results replaced. Captures are numbered in a written table.
 """
 
 from __future__ import annotations
@@ -49,11 +50,13 @@ def parents(host: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """list, domain, since, until (exclusive, null: still holds), allow. entries: list, kind, domain, since, action."""
+    """list, domain, since, until (exclusive, null: still holds), allow. entries: list, kind, domain, since, action.
+    Domains differ neither by case nor by a dot at the end."""
     w = Window.partitionBy("list", "domain").orderBy("since", F.col("action") == "remove")
-    spans = entries.filter("domain IS NOT NULL AND since IS NOT NULL").withColumn("until", F.lead("since").over(w))
+    named = entries.filter("domain IS NOT NULL AND since IS NOT NULL").withColumn("domain", F.regexp_replace(F.lower("domain"), r"\.+$", ""))
+    spans = named.withColumn("until", F.lead("since").over(w))
     held = spans.filter((F.col("action") == "add") & (F.col("until").isNull() | (F.col("until") > F.col("since"))))
-    return held.select("list", F.lower("domain").alias("domain"), "since", "until", (F.col("kind") == "allow").alias("allow"))
+    return held.select("list", "domain", "since", "until", F.col("kind").eqNullSafe("allow").alias("allow"))
 
 
 def judged(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetched") -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from galley.llm import bpe, components, exact_dedup, hmm, language, line_dedup, packing, pii, quality, registry, simhash, url_filter
+from galley.llm import bpe, common, components, exact_dedup, hmm, language, line_dedup, packing, pii, quality, registry, simhash, url_filter
 from galley.llm.common import written
 
 
@@ -453,6 +453,33 @@ def test_intervals(spark):
     assert got == ["none", "block", "block", "none", "block", "allow", "none", "none", "none"]
 
 
+def test_spellings_of_a_domain_are_one(spark):
+    import datetime as dt
+
+    day = lambda n: dt.date(2024, 1, n)
+    entries = spark.createDataFrame([("a", None, "X.org.", day(2), "add"), ("a", None, "x.org", day(5), "remove"), ("a", None, "y.org", None, "add")], "list string, kind string, domain string, since date, action string")
+    captures = spark.createDataFrame([(1, "http://x.org./", day(4)), (2, "http://x.org", day(6)), (3, "http://y.org", day(6))], "id int, url string, fetched date")
+    assert [r["decision"] for r in url_filter.judged(captures, entries).orderBy("id").collect()] == ["block", "none", "none"]
+
+
+def test_scratch(spark, tmp_path, monkeypatch):
+    """Tables go with their scratch, kept ones and those outside it stay, also where it ends in an error."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    left = lambda: sorted(x.name for x in tmp_path.glob("*/*"))
+    rows = spark.range(3)
+    outer = written(rows, "outer")
+    with common.scratch(spark):
+        written(rows, "one")
+        with pytest.raises(KeyError), common.scratch(spark):
+            written(rows, "two")
+            raise KeyError
+        assert left() == ["one", "outer"]
+        kept = written(rows, "kept", keep=True)
+    assert left() == ["kept", "outer"] and kept.count() == outer.count() == 3
+    common.discard(kept, outer)
+    assert list(tmp_path.iterdir()) == []
+
+
 def changed(rng, base, how, share):
     """A copy of base (words) with about this similarity over five-word shingles."""
     words = lambda n: [f"w{x}" for x in rng.integers(0, 1_000_000, n)]
