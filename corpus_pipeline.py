@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from galley.llm import exact_dedup, language, packing, pii, simhash
-from galley.llm.common import documents, written
+from galley.llm.common import discard, documents, scratch, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The places of the pieces of what all stages keep. Tables that a stage made on its way go when its result is
+    written, and that result when the next stage has read it; those of the last stage stay for the caller to read from."""
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
